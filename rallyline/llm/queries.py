@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rallyline.llm import bpe, counts
+from rallyline.llm import bpe, counts, exact, near
 from rallyline.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,28 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_bpe_round_trip, op3_token_counts)}
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.groups(documents(spark, sf_dir))
 
-ORACLES: dict[str, str] = {}
+
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.join(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_bpe_round_trip, op3_token_counts, op4_exact_dedup, op6_ngram_jaccard_join)}
+
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": r"""
+        WITH normal AS (
+            SELECT doc_id, length(coalesce(text, '')) AS points,
+                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+            FROM documents
+        ), ranked AS (
+            SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS keep_id,
+                   count(*) OVER (PARTITION BY text_sha256) AS group_size
+            FROM normal
+            WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id ASC NULLS LAST)
+        )
+        SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS kept, text_sha256 FROM ranked
+    """,
+}
