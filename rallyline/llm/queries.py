@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rallyline.llm import bpe, counts, exact, near
+from rallyline.llm import bpe, counts, exact, near, rules, secrets
 from rallyline.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,11 +24,19 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(documents(spark, sf_dir))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(documents(spark, sf_dir))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.join(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_bpe_round_trip, op3_token_counts, op4_exact_dedup, op6_ngram_jaccard_join)}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_bpe_round_trip, op3_token_counts, op4_exact_dedup, op5_secret_scans, op6_ngram_jaccard_join, op7_quality_rules)}
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": r"""
