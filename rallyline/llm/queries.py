@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rallyline.llm import bpe, counts, exact, near, rules, secrets
+from rallyline.llm import bpe, counts, exact, near, packing, rules, secrets, shards
 from rallyline.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +36,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_bpe_round_trip, op3_token_counts, op4_exact_dedup, op5_secret_scans, op6_ngram_jaccard_join, op7_quality_rules)}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_bpe_round_trip, op3_token_counts, op4_exact_dedup, op5_secret_scans, op6_ngram_jaccard_join, op7_quality_rules, op9_packing, op10_sharding)}
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": r"""
