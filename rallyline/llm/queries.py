@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rallyline.llm import bpe, counts, exact, near, packing, rules, secrets, shards
+from rallyline.llm import bpe, counts, exact, near, packing, quality, rules, secrets, shards, toxicity
 from rallyline.llm.common import documents
+from rallyline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
@@ -36,6 +41,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -44,7 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_bpe_round_trip, op3_token_counts, op4_exact_dedup, op5_secret_scans, op6_ngram_jaccard_join, op7_quality_rules, op9_packing, op10_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_bpe_round_trip, op3_token_counts, op4_exact_dedup, op5_secret_scans, op6_ngram_jaccard_join, op7_quality_rules, op8_toxicity, op9_packing, op10_sharding)}
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": r"""

@@ -73,21 +73,23 @@ class Block:
         self.n = len(column)
         self.bytes = _LOWER[self.raw] if lower else self.raw
         self.in_word = ~SPACE[self.raw]
-        begins, ends = self.in_word.copy(), self.in_word.copy()
-        begins[1:] &= ~self.in_word[:-1]
-        ends[:-1] &= ~self.in_word[1:]
-        heads = self.at[:-1][self.at[:-1] < self.at[1:]]  # of texts that have bytes
-        tails = self.at[1:][self.at[:-1] < self.at[1:]] - 1
-        begins[heads] = self.in_word[heads]
-        ends[tails] = self.in_word[tails]
-        self.begin = np.flatnonzero(begins)
-        self.end = np.flatnonzero(ends) + 1
-        self.doc = np.searchsorted(self.at, self.begin, "right") - 1
+        self.begin, self.end, self.doc = self.runs(self.in_word)
         self.n_words = np.bincount(self.doc, minlength=self.n)
         powers, self._inverse = _power_tables(len(self.raw) + 1)
         self._prefix = np.zeros(len(self.raw) + 1, np.uint64)
         np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * powers[: len(self.raw)], out=self._prefix[1:])
 
+    def runs(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin, end and text of every longest run of flagged bytes within a text."""
+        begins, ends = flags.copy(), flags.copy()
+        begins[1:] &= ~flags[:-1]
+        ends[:-1] &= ~flags[1:]
+        heads = self.at[:-1][self.at[:-1] < self.at[1:]]  # of texts that have bytes
+        tails = self.at[1:][self.at[:-1] < self.at[1:]] - 1
+        begins[heads], ends[tails] = flags[heads], flags[tails]
+        begin = np.flatnonzero(begins)
+        return begin, np.flatnonzero(ends) + 1, np.searchsorted(self.at, begin, "right") - 1
+
     def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self._prefix[end] - self._prefix[begin]) * self._inverse[begin])
 
