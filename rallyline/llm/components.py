@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rallyline.llm.common import join_counted
 from rallyline.session import settle
 
 ROUNDS = 40
@@ -14,16 +15,16 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) for every node of edges (a, b).
 
     Each round links a node's neighbours to the smallest of them, so depth halves; star hubs are reduced by
-    partial minima before any shuffle. Ends when a round changes nothing.
+    partial minima before any shuffle, and hubs with a large share of all edges are joined by broadcast. Ends when a round changes nothing.
     """
     now = settle(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     for _ in range(ROUNDS):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = settle(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")))
+        large = join_counted(both, least, "a", "degree").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(low.withColumnRenamed("a", "node"), F.col("a") == F.col("node")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = settle(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if state == seen:
