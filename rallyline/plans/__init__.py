@@ -1 +1,3 @@
+"""Registered queries; importing this package registers all of them."""
 
+from rallyline.plans import play  # noqa: F401
