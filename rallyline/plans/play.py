@@ -220,6 +220,6 @@ def q36_last_hit_and_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.select("user_id", "event_id", F.col("last.event_id").alias("last_hit"), error.alias("unforced_error"))
 
 
-@query("q38_magnitude", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, x -> CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS magnitude FROM embeddings")
+@query("q38_magnitude", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS magnitude FROM embeddings")
 def q38_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(metrics.vector_magnitude("embedding"), 4).alias("magnitude"))
