@@ -1,8 +1,9 @@
 """Operator 10: sharding by vector bin packing.
 
 Groups of equal texts are gathered by hash into cells, whose number is fixed; a group that alone weighs more
-than a cell may is split over cells of its own. The driver places the cells, heaviest first, each where the
-dot product of its bytes, tokens and rows with the shard's residual capacity is highest.
+than a cell may is dealt over cells of its own. The driver places the cells, heaviest first, each where the
+dot product of its bytes, tokens and rows with the shard's residual capacity is highest; the cells of a group
+are placed as one, unless it is so large that no shard could be even with it.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from rallyline.session import settle
 
 @dataclass(frozen=True)
 class Plan:
-    """Shards; hashed cells; a group above one part in `fine` of a shard is split; what each measure counts for."""
+    """Shards; hashed cells; a group above one part in `fine` of a shard is dealt over several cells, and above one
+    part in `whole` over several shards; what each measure counts for."""
 
     shards: int = 16
     cells: int = 1 << 16
     fine: int = 64
+    whole: int = 4
     weights: tuple[float, float, float] = (4.0, 1.0, 1.0)  # bytes, tokens, rows: the law is near equal bytes
 
 
@@ -63,8 +66,8 @@ def place(loads: np.ndarray, plan: Plan) -> np.ndarray:
 def assign(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null), tokens.
 
-    Rows with the same text share a shard, unless together they outweigh one part in plan.fine of a shard: such
-    a group is split over several cells by row. Null and empty texts are one group of size 1 each. Slots of a
+    Rows with the same text share a shard, unless together they outweigh one part in plan.whole of a shard: such
+    a group is split by row. Null and empty texts are one group of size 1 each. Slots of a
     shard run from 0 without gaps. Repeated rows and null ids each have a slot of their own; no rows give none.
     Only narrow rows are shuffled, each cell a small and bounded share of them; the driver sees cells only.
     """
@@ -74,14 +77,17 @@ def assign(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     per_group = rows.groupBy("key").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n"))
     over = F.greatest(*(F.col(c) / m for c, m in zip("btn", most, strict=True)))
     # Of each measure at most shards * fine groups can be that heavy, so these rows are bounded whatever the input.
-    heavy = per_group.where((over > 1) & (F.col("n") > 1)).select("key", F.ceil(over).cast("long").alias("pieces"))
+    heavy = per_group.where((over > 1) & (F.col("n") > 1)).select("key", F.ceil(over).cast("long").alias("pieces"), (over <= plan.fine / plan.whole).alias("together"))
     heavy = settle(heavy.withColumn("group", F.row_number().over(Window.orderBy("key"))))
     own = F.concat_ws("/", "group", F.pmod(F.xxhash64("row"), "pieces"))
     hashed = F.pmod(F.xxhash64("key"), F.lit(plan.cells)).cast("string")
     rows = rows.join(F.broadcast(heavy), "key", "left").withColumn("cell", F.when(F.col("pieces").isNull(), hashed).otherwise(own))
     # At most plan.cells cells and the pieces of the heavy groups.
     cells = rows.groupBy("cell").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")).toPandas().sort_values("cell")
-    cells["shard"] = place(cells[["b", "t", "n"]].to_numpy(float).reshape(-1, 3), plan)
+    together = {str(r["group"]) for r in heavy.where("together").collect()}
+    cells["unit"] = [c.split("/")[0] + "/" if c.split("/")[0] in together and "/" in c else c for c in cells["cell"]]
+    units = cells.groupby("unit")[["b", "t", "n"]].sum()
+    cells["shard"] = cells["unit"].map(dict(zip(units.index, place(units.to_numpy(float).reshape(-1, 3), plan), strict=True))).astype("int64")
     cells["first"] = cells.groupby("shard")["n"].cumsum() - cells["n"]
     found = [(c, int(s), int(f)) for c, s, f in zip(cells["cell"], cells["shard"], cells["first"], strict=True)]
     placed = rows.sparkSession.createDataFrame(found, "cell string, shard int, first long")

@@ -112,7 +112,7 @@ class Restorer:
             letters = [(char, 0.0)] if char.isalpha() else [(c, SWAP) for c in meant]
             options = [(c * k, cost + (0.0 if k == times else STRETCH)) for c, cost in letters for k in ({1, 2, times} if times > 2 else {times})]
             if not char.isalpha():
-                options.append((" ", NUMBER if char.isdigit() and meant else BORDER if meant else 0.0))
+                options.append((" ", NUMBER if char.isdigit() and meant else BORDER if meant or linked else 0.0))
                 if char in ".-_*~+/ ":
                     options.append(("", JOIN if linked or char == " " else BORDER))
             places.append(options)

@@ -1,0 +1,169 @@
+"""Operators 5 and 10, and the pipeline, against brute force."""
+
+import base64
+import bz2
+import gzip
+import hashlib
+import re
+import urllib.parse
+import zlib
+
+import pytest
+
+import corpus_pipeline
+from rallyline.llm import quality, queries, secrets, shards
+
+ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base_spans(text):
+    """kind:start:end of the contract's base patterns, by plain iteration."""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return [f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found)]
+
+
+def check_base(found, rows):
+    wanted = []
+    for i, t in rows:
+        spans = base_spans(t or "")
+        kinds = [s.split(":")[0] for s in spans]
+        wanted.append((i or 0, *(kinds.count(k) for k in ("assign", "access", "hex")), hashlib.sha256(",".join(spans).encode()).hexdigest()))
+    assert sorted((r["doc_id"] or 0, r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in found) == sorted(wanted)
+    for r in found:
+        text = next((t or "" for i, t in rows if i == r["doc_id"]), "")
+        assert set(base_spans(text)) <= set(r["spans"].split(","))
+
+
+SECRET = 'api_key = "Zx81-longer_than_12"'
+LAYERS = [
+    urllib.parse.quote(SECRET, safe=""),
+    urllib.parse.quote(urllib.parse.quote(SECRET, safe=""), safe=""),
+    "".join(f"\\u{ord(c):04x}" for c in SECRET),
+    base64.b64encode(SECRET.encode()).decode(),
+    base64.urlsafe_b64encode(SECRET.encode()).decode().rstrip("="),
+    base64.b64encode(base64.b64encode(SECRET.encode())).decode(),
+    *(base64.b64encode(pack(SECRET.encode())).decode() for pack in (gzip.compress, zlib.compress, bz2.compress)),
+    base64.b64encode(gzip.compress(base64.b64encode(SECRET.encode()))).decode(),
+    urllib.parse.quote(base64.b64encode(gzip.compress(SECRET.encode())).decode(), safe=""),
+]
+
+
+@pytest.mark.parametrize("layer", LAYERS)
+def test_layers_are_unwrapped(layer):
+    text = f"é some words {layer} and more"
+    base, every = secrets.all_spans(text)
+    added = [text[a:b] for a, k, b in every if k == 0]
+    assert layer.rstrip("=") in [a.rstrip("=") for a in added]
+    assert set(base) <= set(every)
+    assert "[secret]" in secrets.masked(text) and layer[:12] not in secrets.masked(text)
+
+
+def test_cycles_and_bombs_end():
+    bomb = base64.b64encode(gzip.compress(b"a" * 200_000_000, 9)).decode()
+    assert secrets.all_spans("%25" * 2000 + " " + "%2525" * 500)[0] == []
+    assert secrets.all_spans(f"x {bomb} y")[0] == secrets.scan(f"x {bomb} y")
+    assert secrets.all_spans("A" * 100_000 + "%" * 100_000 + "\\u0041" * 10_000)[0] == []
+
+
+def test_clean_text_is_left_alone():
+    text = "The quick brown fox; token of thanks: none. 0123456789abcde AKIA12345"
+    assert secrets.all_spans(text) == ([], []) and secrets.masked(text) == text
+
+
+def test_kelvin_and_long_s_are_no_letters_here():
+    assert secrets.scan("ſecret=abcdefghijklmnop toKen=abcdefghijklmnop") == []
+
+
+def test_odd_rows(table_of, odd):
+    rows = [*odd, (30, SECRET + " " + SECRET), (31, "PassWD:abcdefghijkl AKIAABCDEFGHIJKLMN " + "0" * 16)]
+    check_base(secrets.find_secrets(table_of(rows)).collect(), rows)
+    docs = table_of(rows)
+    masked = secrets.mask_secrets(docs)
+    assert masked.schema == docs.schema
+    for r in masked.collect():
+        assert r["n_chars"] == (None if r["text"] is None else len(r["text"]))
+        assert not base_spans(r["text"] or "")
+    assert secrets.find_secrets(table_of([])).count() == 0 == secrets.mask_secrets(table_of([])).count()
+
+
+def test_secret_query(spark, sf_dir):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    check_base(queries.op5_secret_scans(spark, sf_dir).collect(), rows)
+
+
+def check_shards(found, rows, even=0.05):
+    assert len(found) == len(rows)
+    assert sorted((r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in found) == sorted((i or 0, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    shard = {}
+    for r in found:
+        assert r["law"] == "bytes" and r["grown_shard"] is None and 0 <= r["shard"] < 16
+        shard.setdefault(r["shard"], []).append(r)
+    for own in shard.values():
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+    loads = [sum(r["size"] for r in shard.get(s, [])) for s in range(16)]
+    assert max(loads) - min(loads) <= even * sum(loads) / 16
+
+
+def test_shards_are_even(table_of, words):
+    rows = [(i, " ".join(words[i % 50 : i % 50 + 5 + i * 7 % 60])) for i in range(3000)]
+    check_shards(shards.assign(table_of(rows)).collect(), rows)
+
+
+def test_a_group_of_a_third_of_all_rows_is_split(table_of, words):
+    rows = [(i, "the same text again") for i in range(1000)] + [(2000 + i, " ".join(words[i : i + 4])) for i in range(2000)]
+    check_shards(shards.assign(table_of(rows)).collect(), rows)
+
+
+def test_small_groups_stay_together(table_of, words):
+    rows = [(i, " ".join(words[(i // 2) % 1400 : (i // 2) % 1400 + 8])) for i in range(2800)]
+    by_text = {}
+    texts = dict(rows)
+    for r in shards.assign(table_of(rows)).collect():
+        by_text.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    assert all(len(s) == 1 for s in by_text.values())
+
+
+def test_odd_rows_shard(table_of, odd):
+    check_shards(shards.assign(table_of(odd)).collect(), odd, even=1e9)
+    assert shards.assign(table_of([])).count() == 0
+
+
+def test_shard_query(spark, sf_dir):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    check_shards(queries.op10_sharding(spark, sf_dir).collect(), rows, even=0.5)
+
+
+def test_pipeline_against_plain_python(spark, sf_dir):
+    """Each stage's rows by brute force on its own input: the classifier's verdict, copies, near copies, masks, packs."""
+    from tests.llm.test_dedup import brute_force, wanted_groups
+    from tests.llm.test_tokens import check_packed
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, stage = docs.columns, dict(corpus_pipeline.STAGES)
+    assert list(stage) == ["quality_classifier", "exact_dedup", "ngram_jaccard_join", "secret_scans", "packing"]
+    verdict = {r["doc_id"] for r in quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 1").collect()}
+    now = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in verdict]
+
+    def step(name, rows):
+        frame = docs.join(spark.createDataFrame([(i,) for i, _ in rows], "doc_id long"), "doc_id", "left_semi").select(columns)
+        result = stage[name](spark, frame, sf_dir)
+        assert name == "packing" or result.columns == columns
+        return result.collect()
+
+    assert {r["doc_id"] for r in stage["quality_classifier"](spark, docs, sf_dir).collect()} == verdict
+    keep = {k for _, k in wanted_groups(now).values()}
+    assert {r["doc_id"] for r in step("exact_dedup", now)} == keep
+    now = [(i, t) for i, t in now if i in keep]
+    _, root = brute_force(now)
+    least = {}
+    for (i, _), r in zip(now, root, strict=True):
+        least[r] = min(least.get(r, i), i)
+    assert {r["doc_id"] for r in step("ngram_jaccard_join", now)} == set(least.values())
+    now = [(i, t) for i, t in now if i in set(least.values())]
+    clean = {i: secrets.masked(t) for i, t in now}
+    assert {r["doc_id"]: r["text"] for r in step("secret_scans", now)} == clean
+    check_packed(corpus_pipeline.run(spark, sf_dir).collect(), clean, Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
