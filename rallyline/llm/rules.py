@@ -27,7 +27,8 @@ _UPPER, _LETTER, _LOUD, _MARK = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91] = True
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _LOUD[list(b"!?")] = True
-_MARK[33:128] = ~_LETTER[33:128]  # in words, neither letters nor beyond ASCII
+_MARK[33:128] = ~_LETTER[33:128]  # in words, neither letters nor digits nor beyond ASCII
+_MARK[48:58] = False
 
 MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_loud long, n_stutters long, n_marks long"
 
@@ -82,7 +83,7 @@ RULES = (
     Rule("word_length", lambda: F.when(_share("word_chars", "n_words").between(3, 9), 1).when(~_share("word_chars", "n_words").between(2, 14), 0)),
     Rule("signs", lambda: _vote(_share("n_symbols", "n_words"), 0.02, 0.2)),
     Rule("letters", lambda: _vote(_share("n_marks", "word_chars"), 0.06, 0.1)),
-    Rule("same_lines", lambda: _vote(_share("n_dup_lines", "n_lines"), 0.05, 0.3)),
+    Rule("same_lines", lambda: _vote(_share("n_dup_lines", "n_lines"), 0.05, 0.5)),
     Rule("same_words", lambda: _vote(_share("n_repeat_words", "n_words"), 0.05, 0.2)),
     Rule("capitals", lambda: _vote(_share("n_upper", "n_letters"), 0.2, 0.5)),
     Rule("loud", lambda: _vote(_share("n_loud", "n_words"), 0.05, 0.3)),
