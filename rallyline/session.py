@@ -50,10 +50,15 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 _shipped: set[str] = set()
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS_PER_BATCH = 2000  # of whole texts: a Python worker holds a batch or two at a time
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, unless PYTHONPATH already names it."""
+    """Make ready for Python workers: send this package to the executors, once per application, unless PYTHONPATH
+    already names it, and keep their Arrow batches small where the session still has Spark's default."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, str(ROWS_PER_BATCH))
     root = Path(__file__).resolve().parent.parent
     app = spark.sparkContext.applicationId
     if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
