@@ -25,8 +25,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 WHITE = "\t-\r \x85\xa0  -     　"
 
 NO_PAIR = np.int64(1) << 62
+SIGNS = ".,;:!?*$%&#|()"  # none of which is a letter, a number or an apostrophe
 WIDEST_ROW = 64
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -88,14 +89,25 @@ class ByteBPE:
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
+    def _split(self, chunk: str) -> list[str]:
+        """The pre-tokens of a chunk; those of a plain word, with or without signs behind it, without the pattern."""
+        stem = chunk.rstrip(SIGNS)
+        if (stem[1:] if stem[:1] == " " else stem).isalpha():
+            return [stem, chunk[len(stem) :]] if len(stem) < len(chunk) else [chunk]
+        return self._pattern.findall(chunk)
+
     def _learn(self, chunks: set[str]) -> None:
-        for table in (self._known, self._tokens):
-            if len(table) > CACHE_ENTRIES:
-                table.clear()
-        known, tokens = self._known, self._tokens
+        """Make the ids of chunks known. A table that has grown too large keeps what these chunks need, the common ones."""
+        if len(self._known) > CACHE_ENTRIES:
+            self._known = {c: ids for c in chunks if (ids := self._known.get(c)) is not None}
+        known = self._known
         new = [c for c in chunks if c not in known]
-        split = [[c] if c[1:].isalpha() and (c[0] == " " or c[0].isalpha()) else self._pattern.findall(c) for c in new]
-        unseen = [t for t in {t for s in split for t in s} if t not in tokens]
+        split = [self._split(c) for c in new]
+        needed = {t for s in split for t in s}
+        if len(self._tokens) > CACHE_ENTRIES:
+            self._tokens = {t: ids for t in needed if (ids := self._tokens.get(t)) is not None}
+        tokens = self._tokens
+        unseen = [t for t in needed if t not in tokens]
         tokens.update(zip(unseen, self._merge([t.encode() for t in unseen]), strict=True))
         for chunk, s in zip(new, split, strict=True):
             known[chunk] = tokens[s[0]] if len(s) == 1 else b"".join([tokens[t] for t in s])
