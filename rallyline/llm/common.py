@@ -22,6 +22,17 @@ def text_rows(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes not to be a column of docs."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_blocks(rows: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
     """Apply work to runs of rows of about a megabyte of text each."""
     ship_package(rows.sparkSession)

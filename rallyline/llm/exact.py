@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rallyline.llm import bloom
-from rallyline.llm.common import join_counted, map_blocks, text_rows
+from rallyline.llm.common import join_counted, map_blocks, text_rows, unused
 from rallyline.session import settle, ship_package
 
 #: Characters that do not count, [\x20\x09-\x0D].
@@ -84,7 +84,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     heads = fingerprints(docs).select("head")
     filled = bloom.build(heads, "head", docs.count(), least=2)
     ship_package(docs.sparkSession)
-    marks = T.StructType([*docs.schema, T.StructField("__sha", T.BinaryType()), T.StructField("__points", T.LongType()), T.StructField("__maybe", T.BooleanType())])
+    sha, points, flag, place = unused(docs, "__sha", "__points", "__maybe", "__place")
+    marks = T.StructType([*docs.schema, T.StructField(sha, T.BinaryType()), T.StructField(points, T.LongType()), T.StructField(flag, T.BooleanType())])
     text_at, id_at = docs.columns.index("text"), docs.columns.index("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,6 +103,6 @@ def drop_copies(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.take(pa.array(stay)).columns, *columns], marks.names)
 
     left = docs.mapInArrow(run, marks)
-    first = Window.partitionBy("__sha").orderBy(F.col("__points").desc(), F.col("doc_id").asc_nulls_last())
-    several = left.where("__maybe").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    return left.where("not __maybe").unionByName(several).select(docs.columns)
+    first = Window.partitionBy(sha).orderBy(F.col(points).desc(), F.col("doc_id").asc_nulls_last())
+    several = left.where(flag).withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
+    return left.where(~F.col(flag)).select(docs.columns).unionByName(several.select(docs.columns))

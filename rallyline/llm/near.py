@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rallyline.llm import bloom
-from rallyline.llm.common import join_counted, map_blocks, text_rows
+from rallyline.llm.common import join_counted, map_blocks, text_rows, unused
 from rallyline.llm.components import components
 from rallyline.llm.text import Block, mix, slices
 from rallyline.session import settle, ship_package
@@ -343,7 +343,8 @@ def keep_one(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     """
     groups = classes_of(docs, banding)
     filled = bloom.build(groups, "head", groups.count(), least=1)
-    extra = T.StructType([*docs.schema, T.StructField("__key", T.BinaryType()), T.StructField("__maybe", T.BooleanType())])
+    key, flag, leads, place = unused(docs, "__key", "__maybe", "__leads", "__place")
+    extra = T.StructType([*docs.schema, T.StructField(key, T.BinaryType()), T.StructField(flag, T.BooleanType())])
     text_at, id_at = docs.columns.index("text"), docs.columns.index("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,8 +362,8 @@ def keep_one(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.take(pa.array(stay)).columns, _packed(first[stay], second[stay]), pa.array(maybe[stay])], extra.names)
 
     left = docs.mapInArrow(run, extra)
-    verdict = groups.select(F.col("key").alias("__key"), (F.col("key") == F.col("group_key")).alias("__first"))
-    several = left.where("__maybe").join(verdict, "__key", "left").where("coalesce(__first, true)")
-    order = Window.partitionBy("__key").orderBy(F.col("doc_id").asc_nulls_last())
-    several = several.withColumn("__n", F.row_number().over(order)).where("__n = 1")
-    return left.where("not __maybe").select(docs.columns).unionByName(several.select(docs.columns))
+    verdict = groups.select(F.col("key").alias(key), (F.col("key") == F.col("group_key")).alias(leads))
+    several = left.where(flag).join(verdict, key, "left").where(F.coalesce(leads, F.lit(True)))
+    order = Window.partitionBy(key).orderBy(F.col("doc_id").asc_nulls_last())
+    several = several.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+    return left.where(~F.col(flag)).select(docs.columns).unionByName(several.select(docs.columns))

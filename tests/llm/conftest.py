@@ -20,10 +20,11 @@ def table_of(spark):
         T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
         T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("key", T.StringType()),
         T.StructField("sha", T.StringType()), T.StructField("size", T.StringType()), T.StructField("row", T.StringType()),
+        T.StructField("__sha", T.StringType()), T.StructField("__KEY", T.StringType()), T.StructField("maybe", T.StringType()), T.StructField("label", T.StringType()),
     ])
 
     def make(pairs, partitions=3):
-        rows = [(i, t, None, "src0", None if t is None else len(t), "k", None, "s", "r") for i, t in pairs]
+        rows = [(i, t, None, "src0", None if t is None else len(t), "k", None, "s", "r", "h", None, "m", "l") for i, t in pairs]
         return spark.createDataFrame(rows, schema).repartition(partitions)
 
     return make
