@@ -15,8 +15,8 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rallyline.llm.common import map_arrow
 from rallyline.llm.text import mix
-from rallyline.session import ship_package
 
 CHUNK = 1 << 16
 LARGEST = 1 << 28  # bits: 32 MB to broadcast at most
@@ -39,7 +39,6 @@ def build(keys: DataFrame, column: str, count: int, least: int, largest: int = L
     Every task sends, for each chunk of the bitmap, the places that its keys hit, each `least` times at
     most; a task for each chunk counts them.
     """
-    ship_package(keys.sparkSession)
     bits = bits_for(count, largest=largest)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +61,7 @@ def build(keys: DataFrame, column: str, count: int, least: int, largest: int = L
             if len(found):
                 first, second = slots(found, bits)
                 held.append(np.concatenate([first, second[second != first]]).astype(np.int64))
-            if sum(map(len, held)) > 1 << 20:
+            if sum(map(len, held)) > 1 << 18:
                 yield flush()
         if held:
             yield flush()
@@ -76,8 +75,8 @@ def build(keys: DataFrame, column: str, count: int, least: int, largest: int = L
                 packed = np.packbits(times >= least, bitorder="little").tobytes()
                 yield pa.record_batch([pa.array([chunk], pa.int32()), pa.array([packed], pa.binary())], ["chunk", "bitmap"])
 
-    parts = keys.select(column).mapInArrow(places, "chunk int, hits binary")
-    merged = parts.groupBy("chunk").agg(F.collect_list("hits").alias("hits")).mapInArrow(counted, "chunk int, bitmap binary")
+    parts = map_arrow(keys.select(column), places, "chunk int, hits binary")
+    merged = map_arrow(parts.groupBy("chunk").agg(F.collect_list("hits").alias("hits")), counted, "chunk int, bitmap binary")
     bitmap = np.zeros(bits // 8, np.uint8)
     for row in merged.toLocalIterator():
         bitmap[row["chunk"] * CHUNK // 8 : (row["chunk"] + 1) * CHUNK // 8] = np.frombuffer(row["bitmap"], np.uint8)

@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from rallyline.llm.common import map_blocks, text_rows, texts_of
+from rallyline.llm.common import map_arrow, map_blocks, text_rows, texts_of
 
 #: The published pre-tokenisation pattern of byte-level BPE, and Unicode's white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -27,7 +27,7 @@ WHITE = "\t-\r \x85\xa0  -     　"
 NO_PAIR = np.int64(1) << 62
 SIGNS = ".,;:!?*$%&#|()"  # none of which is a letter, a number or an apostrophe
 WIDEST_ROW = 64
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 120_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -251,7 +251,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             texts = [byte_bpe(path).decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:

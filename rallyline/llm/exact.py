@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rallyline.llm import bloom
-from rallyline.llm.common import join_counted, map_blocks, text_rows, unused
-from rallyline.session import settle, ship_package
+from rallyline.llm.common import join_counted, map_arrow, map_blocks, text_rows, unused
+from rallyline.session import settle
 
 #: Characters that do not count, [\x20\x09-\x0D].
 IGNORED = b" \t\n\x0b\x0c\r"
@@ -51,7 +51,7 @@ def _flag(rows: DataFrame, filled: Broadcast) -> DataFrame:
             maybe = bloom.holds(batch.column("head").to_numpy(), filled.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe)], [*batch.schema.names, "maybe"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("maybe", T.BooleanType())]))
+    return map_arrow(rows, run, T.StructType([*rows.schema, T.StructField("maybe", T.BooleanType())]))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -83,7 +83,6 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """
     heads = fingerprints(docs).select("head")
     filled = bloom.build(heads, "head", docs.count(), least=2)
-    ship_package(docs.sparkSession)
     sha, points, flag, place = unused(docs, "__sha", "__points", "__maybe", "__place")
     marks = T.StructType([*docs.schema, T.StructField(sha, T.BinaryType()), T.StructField(points, T.LongType()), T.StructField(flag, T.BooleanType())])
     text_at, id_at = docs.columns.index("text"), docs.columns.index("doc_id")
@@ -102,7 +101,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
             columns = [pa.array([pairs[i][0] for i in stay], pa.binary()), pa.array([pairs[i][1] for i in stay], pa.int64()), pa.array(maybe[stay])]
             yield pa.RecordBatch.from_arrays([*batch.take(pa.array(stay)).columns, *columns], marks.names)
 
-    left = docs.mapInArrow(run, marks)
+    left = map_arrow(docs, run, marks)
     first = Window.partitionBy(sha).orderBy(F.col(points).desc(), F.col("doc_id").asc_nulls_last())
     several = left.where(flag).withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
     return left.where(~F.col(flag)).select(docs.columns).unionByName(several.select(docs.columns))

@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rallyline.llm import bloom
-from rallyline.llm.common import join_counted, map_blocks, text_rows, unused
+from rallyline.llm.common import join_counted, map_arrow, map_blocks, text_rows, unused
 from rallyline.llm.components import components
 from rallyline.llm.text import Block, mix, slices
-from rallyline.session import settle, ship_package
+from rallyline.session import settle
 
 BLOCK_CLASSES = 256
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
@@ -186,8 +186,6 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 def links(docs: DataFrame, sets_of: DataFrame, banding: Banding) -> DataFrame:
     """key, links, doc_links, root: what each bucket block found for a class. docs gives the n-gram sets."""
     bands, _ = banding.shape
-    spark = docs.sparkSession
-    ship_package(spark)
     classes = sets_of.where(F.size("bands") > 0)
     filled = bloom.build(classes, "bands", classes.count() * bands, least=2)
 
@@ -201,7 +199,7 @@ def links(docs: DataFrame, sets_of: DataFrame, banding: Banding) -> DataFrame:
             columns = [batch.column(c).take(at) for c in ("key", "head", "size", "bands")]
             yield pa.record_batch([*columns, pa.array((may % bands).astype(np.int32)), pa.array(flat[may])], ["key", "head", "size", "bands", "band", "bucket"])
 
-    met = classes.select("key", "head", "size", "bands").mapInArrow(meet, "key binary, head long, size long, bands array<long>, band int, bucket long")
+    met = map_arrow(classes.select("key", "head", "size", "bands"), meet, "key binary, head long, size long, bands array<long>, band int, bucket long")
     counts = met.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     met = met.join(counts, "bucket").withColumn("parts", F.ceil(F.col("n") / BLOCK_CLASSES).cast("int"))
     met = met.withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
@@ -234,7 +232,7 @@ def links(docs: DataFrame, sets_of: DataFrame, banding: Banding) -> DataFrame:
             yield flush()
 
     schema = "block long, key binary, head long, size long, bands array<long>, band int, side int"
-    todo = settle(blocks.repartition("block").sortWithinPartitions("block", "band").mapInArrow(fresh, schema))
+    todo = settle(map_arrow(blocks.repartition("block").sortWithinPartitions("block", "band"), fresh, schema))
     sets = _gram_sets(docs, banding, bloom.build(todo, "head", todo.count(), least=1))
     sets = sets.groupBy("key").agg(F.first("grams").alias("grams"))
     with_sets = todo.drop("head").join(sets, "key")
@@ -265,7 +263,7 @@ def links(docs: DataFrame, sets_of: DataFrame, banding: Banding) -> DataFrame:
             yield flush()
 
     ordered = with_sets.repartition("block").sortWithinPartitions("block", "band")
-    return ordered.mapInArrow(compare, "key binary, links long, doc_links long, root binary")
+    return map_arrow(ordered, compare, "key binary, links long, doc_links long, root binary")
 
 
 def _roots(alike: np.ndarray) -> np.ndarray:
@@ -361,7 +359,7 @@ def keep_one(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
                 stay = np.sort(np.concatenate([np.flatnonzero(~maybe), np.fromiter(best.values(), np.int64, len(best))])).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*batch.take(pa.array(stay)).columns, _packed(first[stay], second[stay]), pa.array(maybe[stay])], extra.names)
 
-    left = docs.mapInArrow(run, extra)
+    left = map_arrow(docs, run, extra)
     verdict = groups.select(F.col("key").alias(key), (F.col("key") == F.col("group_key")).alias(leads))
     several = left.where(flag).join(verdict, key, "left").where(F.coalesce(leads, F.lit(True)))
     order = Window.partitionBy(key).orderBy(F.col("doc_id").asc_nulls_last())

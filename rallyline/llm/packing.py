@@ -20,9 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from rallyline.llm.bpe import byte_bpe, default_vocabulary
-from rallyline.llm.common import text_rows, texts_of
+from rallyline.llm.common import map_arrow, text_rows, texts_of
 from rallyline.llm.text import slices
-from rallyline.session import ship_package
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -130,7 +129,6 @@ def pack(docs: DataFrame, path: str | None = None, tiers: Tiers = Tiers()) -> Da
     shuffled; a task's number is the high half of its sequences' ids. No rows give none.
     """
     path = path or default_vocabulary()
-    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(tiers, TaskContext.get().partitionId() << 32)
@@ -144,4 +142,4 @@ def pack(docs: DataFrame, path: str | None = None, tiers: Tiers = Tiers()) -> Da
         packer.finish()
         yield packer.rows()
 
-    return text_rows(docs).mapInArrow(run, SCHEMA)
+    return map_arrow(text_rows(docs), run, SCHEMA)

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rallyline.llm import linear
+from rallyline.llm.common import map_arrow
 from rallyline.llm.text import Block, mix, slices
-from rallyline.session import ship_package
 
 SETTINGS = linear.Settings()
 SCALE = 10.0
@@ -78,7 +78,6 @@ def classify(docs: DataFrame, labels: DataFrame, settings: linear.Settings = SET
 def keep_good(docs: DataFrame, labels: DataFrame, settings: linear.Settings = SETTINGS, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, with all columns, that classify() predicts to be good."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, settings))
-    ship_package(docs.sparkSession)
     text_at, names = docs.columns.index("text"), [f"c{i}" for i in range(len(docs.columns))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,4 +86,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, settings: linear.Settings = SE
                 found = model.value.scores(batch.num_rows, *features(batch.column(text_at), settings))
                 yield batch.filter(pa.array(found >= threshold)).rename_columns(whole.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

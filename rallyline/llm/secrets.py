@@ -22,9 +22,8 @@ from urllib.parse import unquote_to_bytes
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rallyline.llm.common import map_blocks, text_rows, texts_of
+from rallyline.llm.common import map_arrow, map_blocks, text_rows, texts_of
 from rallyline.llm.text import slices
-from rallyline.session import ship_package
 
 KINDS = ("assign", "access", "hex")
 #: The patterns of the contract, each with the least length of what it must match.
@@ -170,7 +169,6 @@ def mask_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     A null text stays null; a text without secrets is left as it is.
     """
-    ship_package(docs.sparkSession)
     text_at = docs.columns.index("text")
     chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -188,4 +186,4 @@ def mask_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
                     columns[chars_at] = pa.array(sizes, kept.type)
                 yield pa.RecordBatch.from_arrays(columns, whole.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -18,9 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rallyline.llm import linear
-from rallyline.llm.common import text_rows
+from rallyline.llm.common import map_arrow, text_rows
 from rallyline.llm.text import Block, mix, slices
-from rallyline.session import ship_package
 
 SETTINGS = linear.Settings(max_rows=10_000, alpha=1.0, l1=8.0, epochs=8)
 #: Letters that signs and digits commonly stand for.
@@ -46,7 +45,6 @@ _CHAIN = re.compile(r"[^\W_](?:[.\-_*~+/]+[^\W_]){2,}")
 
 def trigram_counts(docs: DataFrame) -> DataFrame:
     """gram, n: how often each of the 28^3 trigrams occurs in all texts; a border hides what is before it."""
-    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, np.int64)
@@ -56,7 +54,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
         gram = np.flatnonzero(total)
         yield pa.record_batch([pa.array(gram), pa.array(total[gram])], ["gram", "n"])
 
-    return text_rows(docs).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return map_arrow(text_rows(docs), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _trigrams(block: Block) -> np.ndarray:
