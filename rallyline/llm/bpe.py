@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from rallyline.llm.common import map_arrow, map_blocks, text_rows, texts_of
+from rallyline.llm.common import KEPT, Recent, map_arrow, map_blocks, text_rows, texts_of
 
 #: The published pre-tokenisation pattern of byte-level BPE, and Unicode's white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -27,7 +27,7 @@ WHITE = "\t-\r \x85\xa0  -     　"
 NO_PAIR = np.int64(1) << 62
 SIGNS = ".,;:!?*$%&#|()"  # none of which is a letter, a number or an apostrophe
 WIDEST_ROW = 64
-CACHE_ENTRIES = 120_000
+CACHE_ENTRIES = 200_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -63,8 +63,7 @@ class ByteBPE:
         self._chunks = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
         self._pattern = regex.compile(PATTERN)
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        self._known: dict[str, bytes] = {}
-        self._tokens: dict[str, bytes] = {}
+        self._known, self._tokens = Recent(CACHE_ENTRIES), Recent(CACHE_ENTRIES)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
@@ -97,17 +96,10 @@ class ByteBPE:
         return self._pattern.findall(chunk)
 
     def _learn(self, chunks: set[str]) -> None:
-        """Make the ids of chunks known. A table that has grown too large keeps what these chunks need, the common ones."""
-        if len(self._known) > CACHE_ENTRIES:
-            self._known = {c: ids for c in chunks if (ids := self._known.get(c)) is not None}
-        known = self._known
-        new = [c for c in chunks if c not in known]
-        split = [self._split(c) for c in new]
-        needed = {t for s in split for t in s}
-        if len(self._tokens) > CACHE_ENTRIES:
-            self._tokens = {t: ids for t in needed if (ids := self._tokens.get(t)) is not None}
-        tokens = self._tokens
-        unseen = [t for t in needed if t not in tokens]
+        known, tokens = self._known, self._tokens
+        new = known.missing(chunks)
+        split = list(map(self._split, new))
+        unseen = tokens.missing({t for s in split for t in s})
         tokens.update(zip(unseen, self._merge([t.encode() for t in unseen]), strict=True))
         for chunk, s in zip(new, split, strict=True):
             known[chunk] = tokens[s[0]] if len(s) == 1 else b"".join([tokens[t] for t in s])
@@ -219,6 +211,9 @@ def byte_bpe(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
+KEPT["bpe"] = byte_bpe.cache_clear
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -239,7 +234,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
         return pa.record_batch([batch.column("doc_id"), values], ["doc_id", "ids"])
 
-    return map_blocks(text_rows(docs), work, "doc_id long, ids array<int>")
+    return map_blocks(text_rows(docs), work, "doc_id long, ids array<int>", "bpe")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -251,7 +246,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             texts = [byte_bpe(path).decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
+    return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string", "bpe")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -272,4 +267,4 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
             text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
         return pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_blocks(text_rows(docs), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_blocks(text_rows(docs), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "bpe")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,18 +41,54 @@ def _give_back() -> None:
         trim(0)
 
 
-def map_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """rows.mapInArrow(run), with the memory of each task given back at its end."""
+#: What a worker process keeps between tasks: by the operator it is for, how to drop it.
+KEPT: dict[str, Callable[[], object]] = {}
+
+
+def _keep_only(owner: str) -> None:
+    """Of what this worker process keeps, drop what is not the operator's own."""
+    for other, drop in KEPT.items():
+        if other != owner:
+            drop()
+
+
+def map_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, keeps: str = "") -> DataFrame:
+    """rows.mapInArrow(run), with the memory of each task given back at its end, and with nothing held in the worker
+    that another operator kept there."""
     ship_package(rows.sparkSession)
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_only(keeps)
         yield from run(batches)
         _give_back()
 
     return rows.mapInArrow(tidy, schema)
 
 
-def map_blocks(rows: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
+class Recent(dict):
+    """A table of answers of bounded size that keeps what was asked lately: two generations of at most `most` entries
+    and what one block of texts adds."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def missing(self, keys: Iterable) -> list:
+        """Those of the keys that have no answer; answers of the older generation become current again."""
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        older, out = self.older.get, []
+        for key in keys:
+            if key not in self:
+                if (known := older(key)) is None:
+                    out.append(key)
+                else:
+                    self[key] = known
+        return out
+
+
+def map_blocks(rows: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType | str, keeps: str = "") -> DataFrame:
     """Apply work to runs of rows of about a megabyte of text each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +96,7 @@ def map_blocks(rows: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch]
             for part in slices(batch):
                 yield work(part)
 
-    return map_arrow(rows, run, schema)
+    return map_arrow(rows, run, schema, keeps)
 
 
 def texts_of(batch: pa.RecordBatch) -> list[str]:

@@ -17,10 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from rallyline.llm.common import map_blocks, text_rows, texts_of
+from rallyline.llm.common import KEPT, Recent, map_blocks, text_rows, texts_of
 
 MARK = "▁"  # stands for a space in the vocabulary
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 400_000
 
 
 class _Costs(dict):
@@ -46,7 +46,7 @@ class PieceCounter:
         self.rank = {model.id_to_piece(i): rank for rank, i in enumerate(by_score)}
         inner = {(a, b) for piece in self.rank for a, b in zip(piece, piece[1:], strict=False)}
         self._cost = _Costs(self.rank).__getitem__
-        self._known: dict[str, int] = {}
+        self._known = Recent(CACHE_ENTRIES)
         self._chunks = None
         if not any(b == MARK != a or "\n" in (a, b) for a, b in inner):
             # Signs that no piece has right behind a word character: a chunk can end before them.
@@ -56,12 +56,9 @@ class PieceCounter:
 
     def count(self, texts: list[str]) -> list[int]:
         parts = [self._split(t) for t in texts]
-        if len(self._known) > CACHE_ENTRIES:
-            self._known.clear()
         known = self._known
-        for chunk in set().union(*parts) if parts else ():
-            if chunk not in known:
-                known[chunk] = self._count(chunk)
+        for chunk in known.missing(set().union(*parts)):
+            known[chunk] = self._count(chunk)
         return [sum(map(known.__getitem__, part)) for part in parts]
 
     def _split(self, text: str) -> list[str]:
@@ -102,6 +99,9 @@ def piece_counter(path: str) -> PieceCounter:
     return PieceCounter(path)
 
 
+KEPT["counts"] = piece_counter.cache_clear
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -122,4 +122,4 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 4096) ->
         n = np.array(piece_counter(path).count(texts_of(batch)), np.int64)
         return pa.record_batch([batch.column("doc_id"), sizes, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return map_blocks(text_rows(docs), work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_blocks(text_rows(docs), work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", "counts")

@@ -142,4 +142,4 @@ def pack(docs: DataFrame, path: str | None = None, tiers: Tiers = Tiers()) -> Da
         packer.finish()
         yield packer.rows()
 
-    return map_arrow(text_rows(docs), run, SCHEMA)
+    return map_arrow(text_rows(docs), run, SCHEMA, "bpe")
