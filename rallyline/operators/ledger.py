@@ -57,6 +57,18 @@ def compare_by_position(expected: DataFrame, actual: DataFrame, by: list[str], o
     return both.withColumn("same", F.coalesce(F.col("expected") == F.col("actual"), F.lit(False)))
 
 
+def with_publication(upserts: DataFrame, now: Column, fps: float = 60.0) -> DataFrame:
+    """upserts(state, anchor_frame_number, frame_number, ...) with when they went out, the frame `now`, and, if final, how
+    long after their evidence (its anchor, if there is none) and after their launch that was."""
+    final, evidence = F.col("state") == "finalized", F.coalesce("frame_number", "anchor_frame_number")
+    seconds = lambda frames: F.round(frames / fps, 3)
+    return upserts.withColumns({
+        "type": F.lit("attempt_upsert"), "publication_frame_number": now, "publication_video_time_seconds": seconds(now),
+        "publication_delay_frames": F.when(final, now - evidence), "publication_delay_seconds": F.when(final, seconds(now - evidence)),
+        "attempt_publication_delay_seconds": F.when(final, seconds(now - F.col("anchor_frame_number"))),
+    })
+
+
 def late_publications(finalized: DataFrame, limits: DataFrame, outcome: str, delay: str, limit: str) -> DataFrame:
     """finalized rows whose delay is above the limit of their outcome; limits is a small table, joined as Spark sees fit."""
     return finalized.join(limits, outcome).where(F.col(delay) > F.col(limit))

@@ -239,6 +239,11 @@ def debounce(readings: DataFrame, samples: int = 2, speed_slack: float = 0.11, s
     return readings.groupBy("video_id").applyInPandas(run, "video_id string, frame int, speed double, spin int, label string")
 
 
+def visible_points(tracks: DataFrame, last: int = 12) -> DataFrame:
+    """tracks cut to the last points of each, as an overlay shows them."""
+    return tracks.withColumn("points", F.slice("points", F.greatest(F.size("points") - last + 1, F.lit(1)), last))
+
+
 def kinematics(tracks: DataFrame) -> DataFrame:
     """One row a point: velocity and acceleration from the points before it, for analysis."""
     order = Window.partitionBy("video_id", "track_no").orderBy("frame")

@@ -104,6 +104,11 @@ def published_after(events: DataFrame, session: str, token: str | None) -> DataF
     return events.where((F.col("session") == session) & (F.col("event_id") > seen)).orderBy("event_id")
 
 
+def replay(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
+    """Recorded messages as a stream, so many files a batch, in the order in which the files were written."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
+
+
 def stored_streak(value: Column) -> Column:
     """A best streak read back from storage; anything but a whole number of 0 or more is 0."""
     number = value.try_cast("long")

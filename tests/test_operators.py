@@ -43,6 +43,14 @@ def test_replay_mismatches(spark):
     assert found == [("late", "a2 after 9.000 s"), ("length", "3 expected, 2 published"), ("outcome", "#2: expected miss, got hit"), ("outcome", "#3: expected hit, got -"), ("same_frame", "60 occurs 2 times")]
 
 
+def test_publication_delays(spark):
+    rows = [("a", "finalized", 100, 130, 250), ("b", "finalized", 100, None, 250), ("c", "pending", 100, None, 250)]
+    found = ledger.with_publication(spark.createDataFrame(rows, "id string, state string, anchor_frame_number int, frame_number int, now int"), F.col("now"))
+    assert {r["id"]: (r["publication_delay_frames"], r["publication_delay_seconds"], r["attempt_publication_delay_seconds"]) for r in found.collect()} == {
+        "a": (120, 2.0, 2.5), "b": (150, 2.5, 2.5), "c": (None, None, None),
+    }
+
+
 @pytest.fixture(scope="module")
 def sides(spark):
     left = spark.createDataFrame([("a", 1, 10), ("a", 2, 25), ("a", 3, 5), ("b", 4, 10), ("c", 5, 10)], "k string, id int, t int")

@@ -63,6 +63,14 @@ def test_subscribers_resume(spark):
     assert records.published_after(events, "s", "t:2").count() == records.published_after(events, "s", None).count() == 4
 
 
+def test_replay_takes_a_file_a_batch(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.jsonl").write_text(json.dumps({"attempt_id": f"a{i}"}) + "\n")
+    running = records.replay(spark, str(tmp_path), records.UPSERTS).writeStream.format("memory").queryName("replayed").trigger(availableNow=True).start()
+    running.awaitTermination()
+    assert spark.table("replayed").count() == 3 and sum(p["numInputRows"] > 0 for p in running.recentProgress) == 3
+
+
 @pytest.mark.parametrize(("stored", "wanted"), [("5", 5), ("-1", 0), ("x", 0), (None, 0), ("", 0)])
 def test_stored_streaks(spark, stored, wanted):
     assert spark.createDataFrame([(stored,)], "v string").select(records.stored_streak(F.col("v")).alias("n")).first()["n"] == wanted

@@ -138,6 +138,11 @@ def test_debounce(spark):
     assert [(r["frame"], r["speed"]) for r in found] == [(1, 10.1), (7, 12.1)]
 
 
+def test_visible_points(spark):
+    found = tracking.visible_points(frame_of(spark, path(20), path(5))).orderBy("track_no").collect()
+    assert [len(r["points"]) for r in found] == [12, 5] and found[0]["points"][0]["frame"] == 8
+
+
 def test_kinematics(spark):
     rows = tracking.kinematics(frame_of(spark, path(4, lambda f: f * f))).orderBy("frame").collect()
     assert [r["vx"] for r in rows] == [None, 1.0, 3.0, 5.0] and rows[3]["acceleration"] == 2.0
