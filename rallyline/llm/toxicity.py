@@ -136,6 +136,11 @@ class Restorer:
         return max(states.values())[1].strip()
 
 
+def _stretches(token: str) -> list[str]:
+    """A long token in overlapping stretches, so that decoding is linear and each word of up to half one is whole in one."""
+    return [token[k : k + LONGEST] for k in range(0, max(len(token) - LONGEST // 2, 1), LONGEST // 2)]
+
+
 def _doubtful(block: Block) -> list[tuple[int, str]]:
     """Texts and tokens whose lattice has more than one path; spaced-out single letters are joined first."""
     raw, n = block.raw, len(block.raw)
@@ -154,9 +159,8 @@ def _doubtful(block: Block) -> list[tuple[int, str]]:
     swapped = (own >= 2) & ((count(digits) > 0) | (count(likes) - count(digits) > at_end)) & (count(digits) <= own)
     stretched = (own >= 3) & (triples[np.maximum(end - 2, begin)] > triples[begin])
     linked = (own + count(digits) >= 3) & (count(links) >= own + count(digits) - 1)
-    some = np.flatnonzero((swapped | stretched | linked) & (size <= LONGEST))
     data = raw.tobytes()
-    tokens = [(int(block.doc[i]), data[begin[i] : end[i]].decode("utf-8", "replace")) for i in some.tolist()]
+    tokens = [(int(block.doc[i]), part) for i in np.flatnonzero(swapped | stretched | linked).tolist() for part in _stretches(data[begin[i] : end[i]].decode("utf-8", "replace"))]
     single = (size <= 2) & (own + count(digits) == 1)
     edges = np.diff(np.concatenate([[0], single.astype(np.int8), [0]]))
     for a, b in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True):
@@ -164,8 +168,7 @@ def _doubtful(block: Block) -> list[tuple[int, str]]:
             mine = [data[begin[i] : end[i]].decode("utf-8", "replace") for i in range(a, b) if block.doc[i] == doc]
             joined = "".join(c for w in mine for c in w if c.isalnum() or c in LOOKALIKES)
             if len(mine) >= 3 and len(set(joined.lower())) > 2:
-                # Long runs are decoded in overlapping stretches: each word of up to half a stretch is whole in one.
-                tokens += [(doc, joined[k : k + LONGEST]) for k in range(0, max(len(joined) - LONGEST // 2, 1), LONGEST // 2)]
+                tokens += [(doc, part) for part in _stretches(joined)]
     return tokens
 
 

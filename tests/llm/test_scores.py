@@ -129,6 +129,11 @@ def test_spaced_out_letters(restorer):
         assert set(toxicity.features(pa.array(["moron"]), restorer)[1]) <= set(plain)
 
 
+def test_long_tokens_are_restored_too(restorer):
+    own = toxicity.features(pa.array(["-".join(["word"] * 30) + "-m0r0n-" + "-".join(["word"] * 30)]), restorer)[1]
+    assert set(toxicity.features(pa.array(["moron"]), restorer)[1]) <= set(own)
+
+
 def test_obfuscated_toxicity_is_caught(spark, table_of, words, restorer):
     """Documents of clean words with a few of the labels' toxic ones, plain and disguised."""
     clean = [" ".join(words[i : i + 60]) for i in range(0, 2400, 60)]
