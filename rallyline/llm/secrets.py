@@ -1,10 +1,11 @@
 """Operator 5: secret scans by a recursive decoding worklist.
 
 Three kinds of secret are looked for in the text itself (the base spans). Then each layer of the worklist is
-searched for encoded stretches (percent escapes, backslash-u escapes, base64, and compressed bytes inside
-base64); every decoded stretch is scanned like a text and becomes a layer of its own, until no stretch decodes
-to anything new. A hash of every layer seen breaks cycles. A secret in a layer is reported over the characters
-of the text that the layer was decoded from.
+searched for encoded stretches (percent escapes, backslash-u escapes, base64, two-byte characters) and for
+compressed bytes. A layer is its parent with the stretches of one kind decoded in place, so that a key and its
+value meet though only one is encoded, or what a base64 or compressed stretch holds, until nothing decodes to
+anything new. A hash of every layer seen breaks cycles. A secret in a layer is reported over the characters of the
+text that it was decoded from. All patterns are ASCII, so bytes are read as Latin-1, which loses none.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,102 +31,385 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of 16 characters or more
+KEY_WORDS = ("passw", "secret", "token", "api")  # one is in each key
+KEY = re.compile(r"password|passwd|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 
 # Stretches that may be encoded, each with what one must hold to be so; runs are maximal, so matching is linear.
 PERCENT_RUN = re.compile(r"[A-Za-z0-9_.~+=:/&?%-]+")
-PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
+PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
 ESCAPE_RUN = re.compile(r"[A-Za-z0-9_.=:/+\\-]+")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+WIDE = re.compile(r"(?:[\x01-\xff]\x00(?:\x00\x00)?){8,}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]{16,})*(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)?={0,2}")
+WRAPPED_TAIL = re.compile(r"[A-Za-z0-9+/_\r\n\x20\t-]+")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+LEAST = 16  # characters of the shortest secret
+_ZLIB = "".join(f"|\\x{c:02x}[{''.join(f'\\x{f:02x}' for f in range(256) if (c << 8 | f) % 31 == 0 and not f & 32)}]" for c in range(0x08, 0x88, 0x10))
+PACKED = re.compile(r"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00" + _ZLIB)
 
 Span = tuple[int, int, int]  # start, kind, end
+Source = Callable[[], Iterator[bytes]]  # the bytes of a stretch from its beginning, as often as asked for
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of what one stretch may unpack to, so that a small text can't fill a worker's memory."""
+    """Bytes of a stretch held at a time; a longer one is read window by window to its end, each with the last bytes
+    of the one before it."""
 
-    unpacked_bytes: int = 8 << 20
-    printable: float = 0.9
+    window: int = 4 << 20
+    carried: int = 1 << 16
+    piece: int = 1 << 18
 
 
 def scan(text: str) -> list[Span]:
     """Secrets in a text as it stands, leftmost and without overlap for each kind."""
-    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    return _scan(text, ASSIGN.finditer(text))
+
+
+def _any_assign(text: str) -> Iterator[re.Match]:
+    """Also the keys that stand where another key's value is, but for those whose own value is the rest of that one."""
+    end = 0
+    for key in KEY.finditer(text):
+        if key.end() + 1 >= end and (m := ASSIGN.match(text, key.start())):
+            end = m.end() if len(m[2]) >= 12 else end
+            yield m
+
+
+def _scan(text: str, assigned: Iterator[re.Match]) -> list[Span]:
+    low = text.lower() if ":" in text or "=" in text else ""
+    found = [(m.start(), 0, m.end()) for m in assigned if len(m[2]) >= 12] if any(word in low for word in KEY_WORDS) else []
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return sorted(found)
 
 
-def _unpercent(part: str, limits: Limits) -> str | None:
-    return unquote_to_bytes(part).decode("utf-8", "replace")
+def _unpercent(part: str) -> str:
+    return PERCENT.sub(lambda m: chr(int(m[1], 16)), part)
 
 
-def _unescape(part: str, limits: Limits) -> str | None:
-    text = ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)), part)
-    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+def _unescape(part: str) -> str:
+    return ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)), part)
 
 
-def _unpack(raw: bytes, limits: Limits) -> bytes | None:
-    """What a compressed stretch holds, or None if it is not compressed or holds too much."""
-    kinds = {b"\x1f\x8b": lambda: zlib.decompressobj(31), b"BZ": bz2.BZ2Decompressor, b"\xfd7": lzma.LZMADecompressor}
-    make = kinds.get(raw[:2])
-    if make is None and len(raw) > 2 and raw[0] & 0x0F == 8 and int.from_bytes(raw[:2], "big") % 31 == 0:
-        make = zlib.decompressobj
-    try:
-        return make().decompress(raw, limits.unpacked_bytes) if make else None
-    except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError):
-        return None
+def _narrow(part: str) -> str:
+    return part.replace("\0", "")
 
 
-def _unbase64(part: str, limits: Limits) -> str | None:
-    body = part.rstrip("=").translate({45: 43, 95: 47})  # the URL alphabet's - and _
-    if len(body) % 4 == 1:
-        body = body[:-1]
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4))
-    except ValueError:
-        return None
-    for _ in range(8):  # compressed again and again
-        inner = _unpack(raw, limits)
-        if inner is None:
-            break
-        raw = inner
+def _bytes64(body: str) -> bytes:
+    """What characters of either base64 alphabet stand for; a last one that is no whole byte is left out."""
+    body = body[: len(body) - (len(body) % 4 == 1)].replace("-", "+").replace("_", "/")  # the URL alphabet's - and _
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _plain64(part: str) -> str:
+    """What base64 of a text holds; any other stretch stays as it is."""
     try:
-        text = raw.decode()
+        text = _bytes64(part.rstrip("=")).decode()
     except UnicodeDecodeError:
+        return part
+    return text if all(c.isprintable() or c in "\t\r\n" for c in text) else part
+
+
+#: Decoded in place: the runs, what one must hold, how, and of a run cut by a window's end how much stays with what follows.
+DECODERS = (
+    (PERCENT_RUN, PERCENT, _unpercent, re.compile(r"%[0-9A-Fa-f]?\Z")),
+    (ESCAPE_RUN, ESCAPE, _unescape, re.compile(r"\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?\Z")),
+    (BASE64, BASE64, _plain64, None),
+)
+
+
+class _Zlib:
+    """zlib's decompressor with the face of bz2's and lzma's."""
+
+    def __init__(self, bits: int):
+        self.inner, self.tail, self.needs_input = zlib.decompressobj(bits), b"", True
+
+    def decompress(self, data: bytes, most: int) -> bytes:
+        data = self.tail + data
+        before = self.inner.copy()
+        try:
+            out = self.inner.decompress(data, most)
+        except zlib.error:  # what comes before the fault
+            out = b""
+            for k in range(len(data)):
+                try:
+                    out += before.decompress(before.unconsumed_tail + data[k : k + 1], most)
+                except zlib.error:
+                    break
+            self.tail, self.needs_input, self.broken = b"", True, True
+            return out
+        self.tail = self.inner.unconsumed_tail
+        self.needs_input = not self.tail and len(out) < most
+        return out
+
+    broken = False
+    eof = property(lambda self: self.inner.eof)
+    unused_data = property(lambda self: self.inner.unused_data)
+
+
+def _opener(data: bytes) -> Callable | None:
+    found = PACKED.match(data[:6].decode("latin-1"))
+    if not found:
         return None
-    shown = sum(c.isprintable() or c in "\t\r\n" for c in text)
-    return text if text and shown >= limits.printable * len(text) else None
-
-
-DECODERS = ((PERCENT_RUN, PERCENT, _unpercent), (ESCAPE_RUN, ESCAPE, _unescape), (BASE64, None, _unbase64))
+    return {"\x1f": lambda: _Zlib(31), "B": bz2.BZ2Decompressor, "\xfd": lzma.LZMADecompressor}.get(found[0][0], lambda: _Zlib(15))
+
+
+def unpacked(chunks: Iterable[bytes], piece: int = Limits.piece, ended: list | None = None) -> Iterator[bytes]:
+    """What compressed bytes hold, one member after another to the end of the last, in pieces; ended gets an entry
+    if the bytes ran out before the end."""
+    chunks, data = iter(chunks), b""
+    while True:
+        while len(data) < 6 and (more := next(chunks, None)) is not None:
+            data = (data + more).lstrip(b"\0")  # members may be padded
+        make = _opener(data)
+        if not make:
+            return
+        member = make()
+        while not member.eof:
+            try:
+                some = piece >> 4 if member.needs_input else 0
+                out = member.decompress(data[:some], piece)
+            except (OSError, EOFError, ValueError, lzma.LZMAError):
+                return
+            data = data[some:]
+            if out:
+                yield out
+            if getattr(member, "broken", False):
+                return
+            if not member.eof and member.needs_input and not data:
+                data = next(chunks, b"")
+                if not data:
+                    if ended is not None:
+                        ended.append(True)
+                    return
+        data = (member.unused_data + data).lstrip(b"\0")
+
+
+def _from(source: Source, offset: int) -> Iterator[bytes]:
+    for chunk in source():
+        if offset < len(chunk):
+            yield chunk[offset:]
+        offset = max(offset - len(chunk), 0)
+
+
+def _run_of(chunks: Iterator[bytes], run: re.Pattern, decode: Callable[[str], str], cut: re.Pattern) -> Iterator[bytes]:
+    """A run of escapes that goes on beyond a window, decoded to its end."""
+    held = ""
+    for chunk in chunks:
+        held += chunk.decode("latin-1")
+        m = run.match(held)
+        whole = m[0] if m else ""
+        if len(whole) < len(held):
+            yield decode(whole).encode("latin-1", "replace")
+            return
+        tail = cut.search(held)
+        keep = tail.start() if tail else len(held)
+        yield decode(held[:keep]).encode("latin-1", "replace")
+        held = held[keep:]
+    yield decode(held).encode("latin-1", "replace")
+
+
+def _run_of_64(chunks: Iterator[bytes], skip: int) -> Iterator[bytes]:
+    held = ""
+    for chunk in chunks:
+        text = chunk.decode("latin-1")
+        stop = re.search(r"[^A-Za-z0-9+/_\r\n\x20\t-]", text)
+        held += re.sub(r"[\r\n\x20\t]+", "", text[: stop.start()] if stop else text)
+        cut, skip = min(skip, len(held)), max(skip - len(held), 0)
+        held = held[cut:]
+        if stop:
+            break
+        keep = len(held) & ~3
+        yield _bytes64(held[:keep])
+        held = held[keep:]
+    yield _bytes64(held)
+
+
+@dataclass
+class Layer:
+    """A text in parts: where each begins, the document's characters it stands for, and whether it is those as they are."""
+
+    text: str
+    at: list[int]
+    parts: list[tuple[int, int, bool]]
+
+    @classmethod
+    def flat(cls, text: str, start: int, end: int, same: bool = False) -> Layer:
+        return cls(text, [0], [(start, end, same)])
+
+    def origin(self, start: int, end: int) -> tuple[int, int, bool]:
+        """The document's characters from start to end of the layer, and whether any of it was decoded."""
+        i, j = bisect_right(self.at, start) - 1, bisect_right(self.at, max(end - 1, start)) - 1
+        (a, _, same), (c, b, last) = self.parts[i], self.parts[j]
+        return (a + start - self.at[i] if same else a), (c + end - self.at[j] if last else b), not all(p[2] for p in self.parts[i : j + 1])
+
+    def decoded(self, i: int) -> tuple[int, int, int]:
+        """Of the decoded parts around part i without a gap: where they end here, and the characters they stand for."""
+        j = i
+        while j + 1 < len(self.parts) and not self.parts[j + 1][2]:
+            j += 1
+        return (self.at[j + 1] if j + 1 < len(self.at) else len(self.text)), self.parts[i][0], self.parts[j][1]
+
+    def replaced(self, runs: list[tuple[int, int, str]]) -> Layer:
+        out, at, parts, size, done, i = [], [], [], 0, 0, 0
+        for start, end, new in [*runs, (len(self.text), len(self.text), "")]:
+            while done < start:  # parts of what stays
+                while i + 1 < len(self.at) and self.at[i + 1] <= done:
+                    i += 1
+                stop = min(start, self.at[i + 1] if i + 1 < len(self.at) else start)
+                a, b, same = self.parts[i]
+                at.append(size)
+                parts.append((a + done - self.at[i], a + stop - self.at[i], True) if same else (a, b, False))
+                out.append(self.text[done:stop])
+                size, done = size + stop - done, stop
+            if new:
+                a, b, _ = self.origin(start, end)
+                at.append(size)
+                parts.append((a, b, False))
+                out.append(new)
+                size += len(new)
+            done = end
+        return Layer("".join(out), at, parts)
+
+
+class Search:
+    """The worklist of one document."""
+
+    def __init__(self, text: str, limits: Limits):
+        self.limits, self.base = limits, scan(text)
+        self.found, self.seen, self.work = set(self.base), set(), []
+        self.add(Layer.flat(text, 0, len(text), True))
+        self.drain()
+
+    def drain(self) -> None:
+        while self.work:
+            self.look(self.work.pop())
+
+    def new(self, start: int, end: int, digest) -> bool:
+        digest.update(f":{start}:{end}".encode())
+        key = digest.digest()
+        return key not in self.seen and not self.seen.add(key)
+
+    def add(self, layer: Layer) -> None:
+        if layer.text and self.new(layer.parts[0][0], layer.parts[-1][1], hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16)):
+            self.work.append(layer)
+
+    def look(self, layer: Layer, source: Source | None = None, before: int = 0) -> None:
+        """Scan a layer and put what decodes on the list; source continues a layer that is but a window of more, and
+        what lies in its first `before` characters has been seen."""
+        text, root = layer.text, len(layer.parts) == 1 and layer.parts[0][2]
+        for start, kind, end in () if root else _scan(text, _any_assign(text)):
+            a, b, new = layer.origin(start, end)
+            if new:
+                self.found.add((a, kind, b))
+        for run, sign, decode, _ in DECODERS:
+            if not sign or sign.search(text):
+                runs = [(m.start(), m.end(), inner) for m in run.finditer(text) if (not sign or sign.search(m[0])) and (inner := decode(m[0])) != m[0]]
+                if runs:
+                    for start, end, inner in runs:
+                        self.add(Layer.flat(inner, *layer.origin(start, end)[:2]))
+        for m in BASE64.finditer(text):
+            if not source or not WRAPPED_TAIL.fullmatch(text, max(m.start(), len(text) - self.limits.carried // 2)):
+                self.base64(layer, m)  # a run that may go on beyond the window is read on from the source
+        for m in () if root else PACKED.finditer(text, before):
+            i = bisect_right(layer.at, m.start()) - 1
+            if layer.parts[i][2]:
+                continue
+            stop, a, b = layer.decoded(i)
+            far = re.compile(r"[^\x00-\xff]").search(text, m.start(), stop)
+            self.unpack(text, m.start(), far.start() if far else stop, a, b, source)
+
+    def base64(self, layer: Layer, m: re.Match) -> None:
+        """The bytes of a stretch in each of the four alignments, line by line for where they come from."""
+        lines = [(p.start(), p.end(), p[0].rstrip("=")) for p in LINE.finditer(layer.text, m.start(), m.end())]
+        body = "".join(p for _, _, p in lines)
+        for skip in range(1):
+            text = _bytes64(body[skip:]).decode("latin-1")
+            if len(text) < LEAST:
+                break
+            at, parts, size = [], [], 0
+            for start, end, part in lines:
+                a, b, _ = layer.origin(start, end)
+                at.append(max(size - skip, 0) * 3 // 4)
+                parts.append((a, b, False))
+                size += len(part)
+            self.add(Layer(text, at, parts))
+
+    def unpack(self, text: str, start: int, stop: int, a: int, b: int, source: Source | None) -> None:
+        piece, ended = self.limits.piece, []
+        if not any([*unpacked([text[start : min(stop, start + 4096)].encode("latin-1")], piece, ended)]) and not ended:
+            return  # a fault at the beginning: these bytes only look compressed
+        parts = lambda: (text[k : min(k + (1 << 16), stop)].encode("latin-1") for k in range(start, stop, 1 << 16))
+        own = lambda: unpacked(parts(), piece)
+        if source:  # of a window: only what begins well and goes on beyond it is read from the source
+            ended = []
+            for _ in unpacked(parts(), piece, ended):
+                pass
+            if ended:
+                own = lambda: unpacked(_from(source, start), piece)
+        self.dive(own, a, b)
+
+    def dive(self, source: Source, a: int, b: int) -> None:
+        """A stretch of any length, all of which stands for the characters from a to b."""
+        head = bytearray()
+        for piece in source():
+            head += piece
+            if len(head) > self.limits.window:
+                break
+        else:
+            if head:
+                self.add(Layer.flat(head.decode("latin-1"), a, b))
+            return
+        del head
+        digest = hashlib.blake2b(digest_size=16)
+        for piece in source():
+            digest.update(piece)
+        if self.new(a, b, digest):
+            self.windows(source, a, b)
+
+    def windows(self, source: Source, a: int, b: int) -> None:
+        held, begun, first, open_runs = bytearray(), 0, True, set()
+        pieces = source()
+        piece = next(pieces, None)
+        while piece is not None:
+            held += piece
+            piece = next(pieces, None)
+            if len(held) < self.limits.window and piece is not None:
+                continue
+            text = held.decode("latin-1")
+            later, self.work = self.work, []
+            rest = lambda k=begun: _from(source, k)
+            self.look(Layer.flat(text, a, b), rest if piece is not None else None, 0 if first else self.limits.carried - 8)
+            self.drain()
+            for k, (run, cut) in enumerate([(d[0], d) for d in DECODERS[:2]] + [(WRAPPED, None)] if piece is not None else ()):
+                tail = text[-self.limits.carried // 2 :]  # a shorter run is whole in the next window
+                for m in run.finditer(text) if (run.fullmatch if cut else WRAPPED_TAIL.fullmatch)(tail) else ():
+                    if m.end() < len(text) or cut and not cut[1].search(m[0]):
+                        continue
+                    if k not in open_runs or m.start() > 0:
+                        start = begun + m.start()
+                        if cut:
+                            self.dive(lambda: _run_of(_from(source, start), run, cut[2], cut[3]), a, b)  # noqa: B023
+                        else:
+                            for skip in range(1):
+                                self.dive(lambda: _run_of_64(_from(source, start), skip), a, b)  # noqa: B023
+                        self.drain()
+                    open_runs.add(k)
+                    break
+                else:
+                    open_runs.discard(k)
+            self.work = later
+            cut_at = max(len(held) - self.limits.carried, 0)
+            begun, first = begun + cut_at, False
+            del held[:cut_at]
 
 
 def all_spans(text: str, limits: Limits = Limits()) -> tuple[list[Span], list[Span]]:
     """(base spans, base and added spans), each in order of start, kind, end."""
-    base = scan(text)
-    found = set(base)
-    seen: set[bytes] = set()
-    work: list[tuple[str, int | None, int]] = [(text, None, 0)]  # a layer and the characters it came from
-    while work:
-        layer, start, end = work.pop()
-        for pattern, sign, decode in DECODERS:
-            if sign and not sign.search(layer):
-                continue
-            for m in pattern.finditer(layer):
-                inner = decode(m[0], limits) if not sign or sign.search(m[0]) else None
-                if not inner or inner == m[0]:
-                    continue
-                a, b = (m.start(), m.end()) if start is None else (start, end)
-                key = hashlib.blake2b(f"{a}:{b}:{inner}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                if key in seen:
-                    continue
-                seen.add(key)
-                found.update((a, kind, b) for _, kind, _ in scan(inner))
-                work.append((inner, a, b))
-    return base, sorted(found)
+    search = Search(text, limits)
+    return search.base, sorted(search.found)
 
 
 def written(spans: list[Span]) -> str:

@@ -4,6 +4,8 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
+import random
 import re
 import urllib.parse
 import zlib
@@ -60,6 +62,32 @@ def test_layers_are_unwrapped(layer):
     assert "[secret]" in secrets.masked(text) and layer[:12] not in secrets.masked(text)
 
 
+def b64(raw):
+    return base64.b64encode(raw).decode()
+
+
+def added(text, limits=secrets.Limits()):
+    base, every = secrets.all_spans(f"some words {text} and more", limits)
+    return set(every) - set(base)
+
+
+SMALL = secrets.Limits(window=1 << 16, carried=1 << 12, piece=1 << 13)
+
+
+def test_compressed_bytes_are_read_to_their_end():
+    """Past 8 MB, past a cut character, in any member, in cut inner layers and below eight layers."""
+    secret, deep = SECRET.encode(), SECRET.encode()
+    assert added(b64(gzip.compress(b"plain " * 1_500_000 + secret)))
+    for pack in (gzip.compress, bz2.compress, lzma.compress):
+        assert added(b64(pack(b"first ") + pack(secret)))
+    noise = random.Random(3).randbytes(150_000)
+    for inner in (secret, base64.b64encode(b"plain " * 50_000 + secret), gzip.compress(noise + secret), base64.b64encode(gzip.compress(noise + secret))):
+        assert added(b64(gzip.compress("é".encode() * 40_000 + b" " + inner)), SMALL)
+    for _ in range(30):
+        deep = gzip.compress(deep)
+    assert added(b64(deep))
+
+
 def test_cycles_and_bombs_end():
     bomb = base64.b64encode(gzip.compress(b"a" * 200_000_000, 9)).decode()
     assert secrets.all_spans("%25" * 2000 + " " + "%2525" * 500)[0] == []
