@@ -308,8 +308,7 @@ class Search:
             if not sign or sign.search(text):
                 runs = [(m.start(), m.end(), inner) for m in run.finditer(text) if (not sign or sign.search(m[0])) and (inner := decode(m[0])) != m[0]]
                 if runs:
-                    for start, end, inner in runs:
-                        self.add(Layer.flat(inner, *layer.origin(start, end)[:2]))
+                    self.add(layer.replaced(runs))
         for m in BASE64.finditer(text):
             if not source or not WRAPPED_TAIL.fullmatch(text, max(m.start(), len(text) - self.limits.carried // 2)):
                 self.base64(layer, m)  # a run that may go on beyond the window is read on from the source

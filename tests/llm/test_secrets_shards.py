@@ -88,6 +88,18 @@ def test_compressed_bytes_are_read_to_their_end():
     assert added(b64(deep))
 
 
+VALUE = "hunter2hunter2"
+
+
+@pytest.mark.parametrize("text", [
+    '{"password": "' + "".join(f"\\u{ord(c):04x}" for c in VALUE) + '"}',
+    "password: " + "".join(f"%{ord(c):02x}" for c in VALUE),
+])
+def test_a_plain_key_with_an_encoded_value(text):
+    ((start, kind, end),) = added(text)
+    assert kind == 0 and start == 11 + text.index("password") and end >= 11 + len(text.rstrip('"}='))
+
+
 def test_cycles_and_bombs_end():
     bomb = base64.b64encode(gzip.compress(b"a" * 200_000_000, 9)).decode()
     assert secrets.all_spans("%25" * 2000 + " " + "%2525" * 500)[0] == []
