@@ -116,6 +116,7 @@ def _plain64(part: str) -> str:
 DECODERS = (
     (PERCENT_RUN, PERCENT, _unpercent, re.compile(r"%[0-9A-Fa-f]?\Z")),
     (ESCAPE_RUN, ESCAPE, _unescape, re.compile(r"\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?\Z")),
+    (WIDE, re.compile("\0"), _narrow, None),
     (BASE64, BASE64, _plain64, None),
 )
 
@@ -309,7 +310,7 @@ class Search:
                 runs = [(m.start(), m.end(), inner) for m in run.finditer(text) if (not sign or sign.search(m[0])) and (inner := decode(m[0])) != m[0]]
                 if runs:
                     self.add(layer.replaced(runs))
-        for m in BASE64.finditer(text):
+        for m in WRAPPED.finditer(text):
             if not source or not WRAPPED_TAIL.fullmatch(text, max(m.start(), len(text) - self.limits.carried // 2)):
                 self.base64(layer, m)  # a run that may go on beyond the window is read on from the source
         for m in () if root else PACKED.finditer(text, before):
@@ -324,7 +325,7 @@ class Search:
         """The bytes of a stretch in each of the four alignments, line by line for where they come from."""
         lines = [(p.start(), p.end(), p[0].rstrip("=")) for p in LINE.finditer(layer.text, m.start(), m.end())]
         body = "".join(p for _, _, p in lines)
-        for skip in range(1):
+        for skip in range(4):
             text = _bytes64(body[skip:]).decode("latin-1")
             if len(text) < LEAST:
                 break
@@ -392,7 +393,7 @@ class Search:
                         if cut:
                             self.dive(lambda: _run_of(_from(source, start), run, cut[2], cut[3]), a, b)  # noqa: B023
                         else:
-                            for skip in range(1):
+                            for skip in range(4):
                                 self.dive(lambda: _run_of_64(_from(source, start), skip), a, b)  # noqa: B023
                         self.drain()
                     open_runs.add(k)
