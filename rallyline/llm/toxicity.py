@@ -3,7 +3,8 @@
 A character language model (trigrams over all documents) and a channel that swaps letters for look-alikes,
 stretches them and spaces them out give each doubtful token a lattice of what it may have been; Viterbi decoding
 restores the likeliest. A hashed logistic regression scores the words of the restored text. A token that has no
-look-alike, no letter three times running and no spaced-out letters has a lattice of one path and is left as is.
+look-alike beside two other letters or look-alikes, no run of letters and no spaced-out letters is left as is; so is
+one of digits alone, a number.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ class Restorer:
             char, times = m[1], len(m[0])
             meant = LOOKALIKES.get(char, "") if char not in "!|+" or m.end() < len(token) else ""
             letters = [(char, 0.0)] if char.isalpha() else [(c, SWAP) for c in meant]
-            options = [(c * k, cost + (0.0 if k == times else STRETCH)) for c, cost in letters for k in ({1, 2, times} if times > 2 else {times})]
+            options = [(c * k, cost + (0.0 if k == times else STRETCH)) for c, cost in letters for k in ({1, 2, times} if times > 1 else {times})]
             if not char.isalpha():
                 options.append((" ", NUMBER if char.isdigit() and meant else BORDER if meant or linked else 0.0))
                 if char in ".-_*~+/ ":
@@ -147,17 +148,17 @@ def _doubtful(block: Block) -> list[tuple[int, str]]:
     total = lambda flags: np.concatenate([[0], np.cumsum(flags)])
     letters, likes, digits, links = (total(t[raw]) for t in (_LETTER, _LIKE, _DIGIT, _LINK))
     low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw)
-    triple = np.zeros(n, bool)
-    if n > 2:
-        triple[:-2] = (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & _LETTER[raw[:-2]] & (raw[:-2] < 128)
-    triples = total(triple)
+    double = np.zeros(n, bool)
+    if n > 1:
+        double[:-1] = (low[:-1] == low[1:]) & _LETTER[raw[:-1]] & (raw[:-1] < 128)
+    doubles = total(double)
     begin, end = block.begin, block.end
     count = lambda sums: sums[end] - sums[begin]
     size, own = end - begin, count(letters)
     inner = end - 1
     at_end = _LIKE[raw[inner]] & ~_DIGIT[raw[inner]] if len(inner) else np.zeros(0, bool)
-    swapped = (own >= 2) & ((count(digits) > 0) | (count(likes) - count(digits) > at_end)) & (count(digits) <= own)
-    stretched = (own >= 3) & (triples[np.maximum(end - 2, begin)] > triples[begin])
+    swapped = (own + count(likes) >= 3) & (count(likes) > at_end) & (own + count(likes) - count(digits) > at_end)
+    stretched = (own >= 3) & (doubles[np.maximum(end - 1, begin)] > doubles[begin])
     linked = (own + count(digits) >= 3) & (count(links) >= own + count(digits) - 1)
     data = raw.tobytes()
     tokens = [(int(block.doc[i]), part) for i in np.flatnonzero(swapped | stretched | linked).tolist() for part in _stretches(data[begin[i] : end[i]].decode("utf-8", "replace"))]

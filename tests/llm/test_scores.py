@@ -123,6 +123,12 @@ def test_restored_words(restorer, token, word):
     assert restorer(token) == word
 
 
+@pytest.mark.parametrize(("token", "word"), [("1d10t", "idiot"), ("5h17", "shit"), ("l053r", "loser"), ("ssttuuppiidd", "stupid"), ("moorroonn", "moron"), ("mmoron", "moron")])
+def test_heavily_disguised_tokens_are_decoded(restorer, token, word):
+    own = toxicity.features(pa.array([token]), restorer)[1]
+    assert set(toxicity.features(pa.array([word]), restorer)[1]) <= set(own)
+
+
 def test_spaced_out_letters(restorer):
     for text in ("you m o r o n you", "you m.o.r.o.n you", "you m-0-r-0-n you"):
         plain, _ = toxicity.features(pa.array([text]), restorer)[1:]
