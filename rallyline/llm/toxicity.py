@@ -103,7 +103,7 @@ class Restorer:
     def lattice(self, token: str) -> list[list[tuple[str, float]]]:
         """For each place what it may have been, with the channel's log chance; ' ' is a border."""
         token = token.lower()
-        linked = bool(_CHAIN.fullmatch(token))
+        linked = " " in token or bool(_CHAIN.fullmatch(token))
         places: list[list[tuple[str, float]]] = []
         for m in re.finditer(r"(.)\1*", token, re.DOTALL):
             char, times = m[1], len(m[0])
@@ -162,14 +162,14 @@ def _doubtful(block: Block) -> list[tuple[int, str]]:
     linked = (own + count(digits) >= 3) & (count(links) >= own + count(digits) - 1)
     data = raw.tobytes()
     tokens = [(int(block.doc[i]), part) for i in np.flatnonzero(swapped | stretched | linked).tolist() for part in _stretches(data[begin[i] : end[i]].decode("utf-8", "replace"))]
-    single = (size <= 2) & (own + count(digits) == 1)
+    single = (size <= 2) & (own + count(digits) == 1) | (size == 1) & (count(likes) == 1)
     edges = np.diff(np.concatenate([[0], single.astype(np.int8), [0]]))
     for a, b in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True):
         for doc in np.unique(block.doc[a:b]).tolist() if b - a >= 3 else ():
             mine = [data[begin[i] : end[i]].decode("utf-8", "replace") for i in range(a, b) if block.doc[i] == doc]
-            joined = "".join(c for w in mine for c in w if c.isalnum() or c in LOOKALIKES)
-            if len(mine) >= 3 and len(set(joined.lower())) > 2:
-                tokens += [(doc, part) for part in _stretches(joined)]
+            joined = " ".join("".join(c for c in w if c.isalnum() or c in LOOKALIKES) for w in mine)  # a blank may be a border or none, the first letter a word
+            if len(mine) >= 3 and len(set(joined.lower()) - {" "}) > 2:
+                tokens += [(doc, part) for whole in (joined, joined.replace(" ", ""), joined.partition(" ")[2]) for part in _stretches(whole)]
     return tokens
 
 

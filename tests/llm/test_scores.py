@@ -135,6 +135,12 @@ def test_spaced_out_letters(restorer):
         assert set(toxicity.features(pa.array(["moron"]), restorer)[1]) <= set(plain)
 
 
+@pytest.mark.parametrize(("text", "word"), [("a m o r o n", "moron"), ("I m o r o n", "moron"), ("y o u m o r o n", "moron"), ("s t u p ! d", "stupid"), ("$ t u p i d", "stupid")])
+def test_spaced_out_letters_have_borders_and_signs(restorer, text, word):
+    own = toxicity.features(pa.array([text]), restorer)[1]
+    assert set(toxicity.features(pa.array([word]), restorer)[1]) <= set(own)
+
+
 def test_long_tokens_are_restored_too(restorer):
     own = toxicity.features(pa.array(["-".join(["word"] * 30) + "-m0r0n-" + "-".join(["word"] * 30)]), restorer)[1]
     assert set(toxicity.features(pa.array(["moron"]), restorer)[1]) <= set(own)
