@@ -52,30 +52,37 @@ class Banding:
         return seeds[::2] | np.uint64(1), seeds[1::2]
 
 
-def _shingles(block: Block, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all word n-grams, and their texts in order; a text of fewer words has one, of all its words."""
-    hashes = block.word_hashes()
-    grams, first = block.windows(words, hashes)
-    owner = block.doc[first]
+def _shingles(block: Block, words: int, halves: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of all word n-grams, once from each of the first halves of the word hashes, and their texts in order; a
+    text of fewer words has one, of all its words."""
     few = np.flatnonzero((block.n_words > 0) & (block.n_words < words))
-    if len(few):
-        at = np.searchsorted(block.doc, few)
-        short = np.zeros(len(few), np.uint64)
-        for i in range(words - 1):
-            has = block.n_words[few] > i
-            short[has] = mix(short[has] * _SECOND + hashes[at[has] + i])
-        place = np.searchsorted(owner, few)
-        grams, owner = np.insert(grams, place, short), np.insert(owner, place, few)
-    return grams, owner
-
-
-def _keys(grams: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits a text that depend on its n-grams and how often each occurs, not on their order."""
+    at = np.searchsorted(block.doc, few)
+    out, hashed = [], block.word_hashes()
+    owner = place = None
+    for hashes in hashed.T[:halves]:
+        hashes = np.ascontiguousarray(hashes)
+        grams, first = block.windows(words, hashes)
+        if owner is None:
+            owner = block.doc[first]
+            place = np.searchsorted(owner, few)
+        if len(few):
+            short = np.zeros(len(few), np.uint64)
+            for i in range(words - 1):
+                has = block.n_words[few] > i
+                short[has] = mix(short[has] * _SECOND + hashes[at[has] + i])
+            grams = np.insert(grams, place, short)
+        out.append(grams)
+    return out, np.insert(owner, place, few)
+
+
+def _keys(grams: list[np.ndarray], owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits a text that depend on its n-grams and how often each occurs, not on their order: 64 from each of two
+    independent hashes of an n-gram."""
     ends = np.searchsorted(owner, np.arange(n + 1))
     halves = []
-    for hashed in (mix(grams + _SECOND), mix(grams ^ _SECOND)):
-        total = np.zeros(len(grams) + 1, np.uint64)
-        np.cumsum(hashed, out=total[1:])
+    for hashed in grams:
+        total = np.zeros(len(hashed) + 1, np.uint64)
+        np.cumsum(mix(hashed + _SECOND), out=total[1:])
         halves.append(mix(total[ends[1:]] - total[ends[:-1]]))
     return halves[0], halves[1]
 
@@ -91,8 +98,9 @@ def signatures(docs: DataFrame, banding: Banding) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         block = Block(batch.column("text"))
-        grams, owner = _shingles(block, banding.words)
-        first, second = _keys(grams, owner, block.n)
+        both, owner = _shingles(block, banding.words, 2)
+        first, second = _keys(both, owner, block.n)
+        grams = both[0]
         have = np.flatnonzero(block.n_words > 0)
         out = np.zeros((len(have), bands), np.uint64)
         if len(have):
@@ -117,8 +125,9 @@ def _gram_sets(docs: DataFrame, banding: Banding, active) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         block = Block(batch.column("text"))
-        grams, owner = _shingles(block, banding.words)
-        first, second = _keys(grams, owner, block.n)
+        both, owner = _shingles(block, banding.words, 2)
+        first, second = _keys(both, owner, block.n)
+        grams = both[0]
         wanted = np.flatnonzero(bloom.holds(first.view(np.int64), active.value) & (block.n_words > 0))
         _, once = np.unique(np.stack([first, second], 1)[wanted], axis=0, return_index=True)
         wanted = wanted[np.sort(once)]
@@ -349,7 +358,7 @@ def keep_one(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
         for whole in batches:
             for batch in slices(whole.rename_columns([f"c{i}" for i in range(whole.num_columns)]), f"c{text_at}"):
                 block = Block(batch.column(text_at))
-                first, second = _keys(*_shingles(block, banding.words), block.n)
+                first, second = _keys(*_shingles(block, banding.words, 2), block.n)
                 maybe = bloom.holds(first.view(np.int64), filled.value)
                 ids, best = batch.column(id_at).to_pylist(), {}
                 for i in np.flatnonzero(maybe).tolist():

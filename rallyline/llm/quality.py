@@ -33,7 +33,7 @@ def _shapes(block: Block) -> np.ndarray:
     length = block.end - block.begin
     upper, lower = (np.add.reduceat(table[block.raw], np.stack([block.begin, block.end], 1).ravel()[:-1])[::2] for table in (_UPPER, _LOWER))
     case = np.where(upper + lower == 0, 3, np.where(lower == 0, np.where(upper > 1, 2, 1), np.where(_UPPER[block.raw[block.begin]] == 1, 1, 0)))
-    words = block.word_hashes()
+    words = block.word_hashes()[:, 0]
     same = np.zeros(len(words), np.int64)
     same[1:] = (words[1:] == words[:-1]) & (block.doc[1:] == block.doc[:-1])
     return ((_END[block.raw[block.end - 1]] * 4 + case) * 6 + np.digitize(length, [3, 6, 10, 15, 25])) * 2 + same
@@ -49,7 +49,7 @@ def features(texts: pa.Array, settings: linear.Settings = SETTINGS) -> tuple[np.
 def _grams(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     block = Block(texts, lower=True)
     owners, found = [], []
-    for kind, (words, orders) in enumerate(((block.word_hashes(), (1, 2)), (mix(_shapes(block).astype(np.uint64)), (1, 2, 3)))):
+    for kind, (words, orders) in enumerate(((block.word_hashes()[:, 0], (1, 2)), (mix(_shapes(block).astype(np.uint64)), (1, 2, 3)))):
         for k in orders:
             grams, first = block.windows(k, words)
             owners.append(block.doc[first])

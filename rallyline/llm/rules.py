@@ -39,7 +39,7 @@ def measures(docs: DataFrame) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         block = Block(batch.column("text"))
         n = block.n
-        words = block.word_hashes()
+        words = block.word_hashes()[:, 0]
         salt = mix(np.arange(1, n + 1, dtype=np.uint64))
         grams, first = block.windows(WINDOW, words)
         twice = first[repeated(grams ^ salt[block.doc[first]])]
@@ -51,7 +51,7 @@ def measures(docs: DataFrame) -> DataFrame:
         worded = np.searchsorted(block.begin, end) > np.searchsorted(block.begin, begin)
         begin, end, owner = begin[worded], end[worded], owner[worded]
         lines = np.bincount(owner, minlength=n)
-        _, one = np.unique(block.hashes(begin, end) ^ salt[owner], return_index=True)
+        _, one = np.unique(block.hashes(begin, end)[:, 0] ^ salt[owner], return_index=True)
         stutter = np.flatnonzero((words[1:] == words[:-1]) & (block.doc[1:] == block.doc[:-1])) + 1
         columns = [
             block.n_words, block.per_text(block.in_word & ((block.raw & 0xC0) != 0x80)), block.per_text(SIGNS[block.raw]),

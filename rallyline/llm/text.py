@@ -1,38 +1,28 @@
-"""Texts of an Arrow batch as one byte array: words, lines and their 64-bit hashes by array operations.
+"""Texts of an Arrow batch as one byte array: words, lines and their hashes by array operations.
 
-Nothing here loops over rows. A hash is a polynomial over bytes modulo 2^64, read off prefix sums, then
-mixed; two different strings of a corpus share one with a chance of about 2^-64 a pair.
+Nothing here loops over words. A stretch of up to 16 bytes is hashed by a permutation of 128 bits, so no two of them
+share a hash; one of up to 32 goes through the permutation twice, and a longer one through BLAKE2b.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 19
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ROUNDS = np.arange(1, 5, dtype=np.uint64) * _ODD
+STEP = 16  # bytes that go through the permutation at a time
+#: By how many of eight bytes belong to a stretch, the others set: 0xFF is in no UTF-8 text, so lengths tell apart.
+_FILL = np.array([((1 << 64) - 1) >> 8 * k << 8 * k for k in range(8)] + [0], np.uint64)
 
 #: The white space of the word contracts, [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        for name, base in (("_powers", _BASE), ("_inverse", _BASE_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            globals()[name] = np.multiply.accumulate(steps)
-    return _powers, _inverse
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every bit of x over 64 bits (two multiply-xorshift rounds)."""
@@ -41,6 +31,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _permuted(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A permutation of pairs of 64 bits: four Feistel rounds."""
+    for one, two in _ROUNDS.reshape(2, 2):
+        second = second ^ mix(first + one)
+        first = first ^ mix(second + two)
+    return first, second
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows of at most limit text bytes, or of a single longer row."""
     offsets = _offsets(batch.column(column))
@@ -71,13 +69,11 @@ class Block:
         self.raw = raw[offsets[0] : offsets[-1]]
         self.at = offsets - offsets[0]
         self.n = len(column)
-        self.bytes = _LOWER[self.raw] if lower else self.raw
+        self._bytes = np.full(len(self.raw) + 2 * STEP, 255, np.uint8)  # room to read whole steps beyond the end
+        self._bytes[: len(self.raw)] = _LOWER[self.raw] if lower else self.raw
         self.in_word = ~SPACE[self.raw]
         self.begin, self.end, self.doc = self.runs(self.in_word)
         self.n_words = np.bincount(self.doc, minlength=self.n)
-        powers, self._inverse = _power_tables(len(self.raw) + 1)
-        self._prefix = np.zeros(len(self.raw) + 1, np.uint64)
-        np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * powers[: len(self.raw)], out=self._prefix[1:])
 
     def runs(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begin, end and text of every longest run of flagged bytes within a text."""
@@ -91,7 +87,22 @@ class Block:
         return begin, np.flatnonzero(ends) + 1, np.searchsorted(self.at, begin, "right") - 1
 
     def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self._prefix[end] - self._prefix[begin]) * self._inverse[begin])
+        """Two columns of 64 bits for each stretch from begin to end."""
+        size = end - begin
+        out = np.zeros((2, len(size)), np.uint64)
+        eights = np.ndarray(len(self._bytes) - 7, "<u8", self._bytes, strides=(1,))  # the eight bytes from every place on
+        for low, high in ((-1, STEP), (STEP, 2 * STEP)):
+            some = np.flatnonzero((size > low) & (size <= high))
+            state = np.zeros((2, len(some)), np.uint64)
+            for at in range(0, high, STEP):
+                words = [eights[begin[some] + at + k] | _FILL[np.clip(size[some] - at - k, 0, 8)] for k in (0, 8)]
+                state = _permuted(state[0] ^ words[0], state[1] ^ words[1])
+            out[:, some] = state
+        some = np.flatnonzero(size > 2 * STEP)
+        data = memoryview(self._bytes)
+        digests = [blake2b(data[a:b], digest_size=16).digest() for a, b in zip(begin[some].tolist(), end[some].tolist(), strict=True)]
+        out[:, some] = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2).T
+        return out.T
 
     def word_hashes(self) -> np.ndarray:
         return self.hashes(self.begin, self.end)
@@ -109,7 +120,7 @@ class Block:
         first = np.flatnonzero(self.doc[: len(words) - k + 1] == self.doc[k - 1 :])
         total = np.zeros(len(first), np.uint64)
         for i in range(k):
-            total = mix(total * np.uint64(_BASE) + words[first + i])
+            total = mix(total * _ODD + words[first + i])
         return total, first
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

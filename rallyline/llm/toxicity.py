@@ -186,7 +186,7 @@ def features(texts: pa.Array, restore: Restorer, bits: int = SETTINGS.bits) -> t
             some = end - begin > head
             stop = begin[some] + head if head else end
             owners.append(doc[some])
-            found.append((mix(part.hashes(begin[some], stop) + np.uint64(head)) >> np.uint64(64 - bits)).astype(np.int64))
+            found.append((mix(part.hashes(begin[some], stop)[:, 0] + np.uint64(head)) >> np.uint64(64 - bits)).astype(np.int64))
     key = np.unique(np.concatenate(owners) << 32 | np.concatenate(found))
     return key >> 32, key & 0xFFFFFFFF, np.ones(len(key))
 
