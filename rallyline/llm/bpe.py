@@ -25,9 +25,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 WHITE = "\t-\r \x85\xa0  -     　"
 
 NO_PAIR = np.int64(1) << 62
-SIGNS = ".,;:!?*$%&#|()"  # none of which is a letter, a number or an apostrophe
+SIGNS = b".,;:!?*$%&#|()"  # none of which is a letter, a number or an apostrophe
 WIDEST_ROW = 64
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 300_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -63,46 +63,74 @@ class ByteBPE:
         self._chunks = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
         self._pattern = regex.compile(PATTERN)
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        self._known, self._tokens = Recent(CACHE_ENTRIES), Recent(CACHE_ENTRIES)
+        self._known = Recent(CACHE_ENTRIES)
+        self.first_ranks = self._rank(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))  # of pairs of bytes
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        parts, owners, whole = [], [], {}
-        for i, text in enumerate(texts):
-            found = self._special.split(text) if self._special and self._special.search(text) else [text]
-            for part in found:
-                if part in self.specials:
-                    whole[len(parts)] = self.specials[part].to_bytes(4, "little")
-                    parts.append([])
-                else:
-                    parts.append(self._chunks.findall(part))
-                owners.append(i)
-        self._learn(set().union(*parts) if parts else set())
-        known = self._known.__getitem__
-        out = [b""] * len(texts)
-        for k, (i, part) in enumerate(zip(owners, parts, strict=True)):
-            ids = whole.get(k) or b"".join(map(known, part))
-            out[i] = out[i] + ids if out[i] else ids
-        return out
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        at = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum(list(map(len, raw)), out=at[1:])
+        odd = {int(i) for i in np.searchsorted(at, _wide_white(data), "right") - 1}
+        if self._special:
+            odd.update(i for i, t in enumerate(texts) if self._special.search(t))
+        if odd:
+            plain = [i for i in range(len(texts)) if i not in odd]
+            out = [b""] * len(texts)
+            for i, ids in zip(plain, self.encode([texts[i] for i in plain]) if plain else [], strict=True):
+                out[i] = ids
+            for i in odd:
+                out[i] = self._encode_odd(texts[i])
+            return out
+        bounds = np.append(_chunk_starts(data, at), len(data))
+        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        known = self._learn(_parts(chunks.dictionary))
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        table = np.frombuffer(b"".join(known), "<u4")
+        which = chunks.indices.to_numpy()
+        n = size[which]
+        ends = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=ends[1:])
+        first = (np.cumsum(size) - size)[which] - ends[:-1]
+        ids = table[np.arange(ends[-1]) + np.repeat(first, n)].tobytes()
+        cut = (4 * ends[np.searchsorted(bounds[:-1], at)]).tolist()
+        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def _encode_odd(self, text: str) -> bytes:
+        """Ids of a text with special tokens or with white space beyond ASCII."""
+        out = []
+        for part in self._special.split(text) if self._special else [text]:
+            if part in self.specials:
+                out.append(self.specials[part].to_bytes(4, "little"))
+            else:
+                out += self._learn([c.encode() for c in self._chunks.findall(part)])
+        return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
-    def _split(self, chunk: str) -> list[str]:
+    def _split(self, chunk: bytes) -> list[bytes]:
         """The pre-tokens of a chunk; those of a plain word, with or without signs behind it, without the pattern."""
         stem = chunk.rstrip(SIGNS)
-        if (stem[1:] if stem[:1] == " " else stem).isalpha():
+        if (stem[1:] if stem[:1] == b" " else stem).isalpha():  # of ASCII letters
             return [stem, chunk[len(stem) :]] if len(stem) < len(chunk) else [chunk]
-        return self._pattern.findall(chunk)
+        return [t.encode() for t in self._pattern.findall(chunk.decode())]
 
-    def _learn(self, chunks: set[str]) -> None:
-        known, tokens = self._known, self._tokens
-        new = known.missing(chunks)
+    def _learn(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of every chunk; they are kept, and so are those of the pre-tokens of chunks that have several."""
+        self._known.turn()
+        new = list(self._known.missing(set(chunks)))
         split = list(map(self._split, new))
-        unseen = tokens.missing({t for s in split for t in s})
-        tokens.update(zip(unseen, self._merge([t.encode() for t in unseen]), strict=True))
-        for chunk, s in zip(new, split, strict=True):
-            known[chunk] = tokens[s[0]] if len(s) == 1 else b"".join([tokens[t] for t in s])
+        known = self._known.now
+        several = [(chunk, s) for chunk, s in zip(new, split, strict=True) if len(s) > 1]
+        unseen = self._known.missing({t for _, s in several for t in s})
+        unseen.update(s[0] for s in split if len(s) == 1)
+        unseen = list(unseen)
+        known.update(zip(unseen, self._merge(unseen), strict=True))
+        for chunk, s in several:
+            known[chunk] = b"".join([known[t] for t in s])
+        return list(map(known.__getitem__, chunks))
 
     def _merge(self, words: list[bytes]) -> list[bytes]:
         out = [b""] * len(words)
@@ -138,7 +166,9 @@ class ByteBPE:
         before = np.tile(np.arange(-1, width, dtype=np.int16), (n, 1))
         before[:, 0] = width
         tree = np.full((n, 2 * width), none, np.int64)
-        ranks = self._rank(symbols[:, : width - 1].ravel(), symbols[:, 1:width].ravel()).reshape(n, width - 1)
+        raw = np.zeros((n, width), np.int64)
+        raw[slot < sizes[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+        ranks = np.where(slot[1:] < sizes[:, None], self.first_ranks.take(raw[:, :-1] << 8 | raw[:, 1:]), none)
         tree[:, width : 2 * width - 1] = np.where(ranks < none, ranks * width + slot[:-1], none)
         at = width
         while at > 1:
@@ -205,6 +235,51 @@ class ByteBPE:
         return np.array([s for s in symbols if s >= 0], "<u4").tobytes()
 
 
+#: White space of one byte, and Unicode's other white space by its first byte.
+_WHITE = np.zeros(256, bool)
+_WHITE[[*range(0x09, 0x0E), 0x20]] = True
+_WIDE_WHITE = {
+    0xC2: (b"\x85", b"\xa0"), 0xE1: (b"\x9a\x80",), 0xE3: (b"\x80\x80",),
+    0xE2: (*(bytes((0x80, k)) for k in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), b"\x81\x9f"),
+}
+
+
+def _wide_white(data: np.ndarray) -> np.ndarray:
+    """Where white space of more than one byte begins."""
+    found = []
+    for lead, tails in _WIDE_WHITE.items():
+        at = np.flatnonzero(data == lead)
+        if len(at):
+            two = len(tails[0]) == 2
+            rest = data[at + 1].astype(np.int64) << 8 | data[at + 2] if two else data[at + 1]
+            found.append(at[np.isin(rest, [int.from_bytes(t, "big") for t in tails])])
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _chunk_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the chunks of texts without wide white space begin: a word with the blank before it, the white space before
+    that, and any other single white character before a word."""
+    white = _WHITE[data]
+    start = np.zeros(len(data), bool)
+    if len(data):
+        start[1:] = (white[1:] & ~white[:-1]) | (~white[1:] & white[:-1] & (data[:-1] != 0x20))
+        last = np.zeros(len(data), bool)  # white, before a word of the same text
+        last[:-1] = white[:-1] & ~white[1:]
+        last[at[1:][at[1:] > 0] - 1] = False
+        start[1:] |= last[1:] & white[:-1]
+        start[at[:-1][at[:-1] < at[1:]]] = True
+    return np.flatnonzero(start)
+
+
+def _parts(column: pa.LargeBinaryArray) -> list[bytes]:
+    """The values of a column that begins at its buffers' beginning."""
+    if not len(column):
+        return []
+    ends = np.frombuffer(column.buffers()[1], np.int64)[: len(column) + 1].tolist()
+    data = column.buffers()[2].to_pybytes()
+    return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 @lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBPE:
     """One vocabulary a worker process and path."""

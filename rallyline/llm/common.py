@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -65,27 +65,26 @@ def map_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return rows.mapInArrow(tidy, schema)
 
 
-class Recent(dict):
+class Recent:
     """A table of answers of bounded size that keeps what was asked lately: two generations of at most `most` entries
     and what one block of texts adds."""
 
     def __init__(self, most: int):
-        super().__init__()
-        self.most, self.older = most, {}
+        self.most = most
+        self.now: dict = {}
+        self.older: dict = {}
 
-    def missing(self, keys: Iterable) -> list:
+    def turn(self) -> None:
+        """To be called before each block: a full generation becomes the older one."""
+        if len(self.now) > self.most:
+            self.older, self.now = self.now, {}
+
+    def missing(self, keys: set) -> set:
         """Those of the keys that have no answer; answers of the older generation become current again."""
-        if len(self) > self.most:
-            self.older = dict(self)
-            self.clear()
-        older, out = self.older.get, []
-        for key in keys:
-            if key not in self:
-                if (known := older(key)) is None:
-                    out.append(key)
-                else:
-                    self[key] = known
-        return out
+        new, older = keys.difference(self.now), self.older
+        back = older.keys() & new
+        self.now.update(zip(back, map(older.__getitem__, back), strict=True))
+        return new - back
 
 
 def map_blocks(rows: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType | str, keeps: str = "") -> DataFrame:

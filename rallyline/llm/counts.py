@@ -56,9 +56,10 @@ class PieceCounter:
 
     def count(self, texts: list[str]) -> list[int]:
         parts = [self._split(t) for t in texts]
-        known = self._known
-        for chunk in known.missing(set().union(*parts)):
-            known[chunk] = self._count(chunk)
+        self._known.turn()
+        new = self._known.missing(set().union(*parts))
+        known = self._known.now
+        known.update(zip(new, map(self._count, new), strict=True))
         return [sum(map(known.__getitem__, part)) for part in parts]
 
     def _split(self, text: str) -> list[str]:
