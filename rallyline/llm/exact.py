@@ -1,7 +1,8 @@
 """Operator 4: exact dedup by two-pass Bloom filtering.
 
 The first pass marks the bits that at least two hashes of normalised texts hit. In the second, a row whose
-bits are not all marked is alone and passes straight through; only the others are shuffled and grouped.
+bits are not all marked is alone and passes straight through; only the others are shuffled and grouped. Where one
+bitmap has no room for all hashes, ranges of them are marked and probed in turn.
 """
 
 from __future__ import annotations
@@ -43,15 +44,29 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_blocks(text_rows(docs), work, "doc_id long, points long, sha binary, head long")
 
 
-def _flag(rows: DataFrame, filled: Broadcast) -> DataFrame:
+def _flag(rows: DataFrame, ranges: list[bloom.Range]) -> DataFrame:
     """rows with a boolean maybe: whether the row's hash may occur more than once."""
+    schema = T.StructType([*rows.schema, T.StructField("maybe", T.BooleanType())])
+
+    def probed(part: bloom.Range) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.filter(pa.array(part.owns(batch.column("head").to_numpy()))) if part.of > 1 else batch
+                maybe = part.holds(own.column("head").to_numpy())
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(maybe)], schema.names)
+
+        return map_arrow(rows, run, schema)
+
+    return bloom.over_ranges(ranges, probed)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            maybe = bloom.holds(batch.column("head").to_numpy(), filled.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe)], [*batch.schema.names, "maybe"])
 
-    return map_arrow(rows, run, T.StructType([*rows.schema, T.StructField("maybe", T.BooleanType())]))
+def _repeated(heads: DataFrame, count: int) -> Broadcast:
+    """A bitmap of the heads that may occur more than once; of many ranges, one of those that do."""
+    ranges = bloom.build_ranges(heads, "head", count, least=2)
+    if len(ranges) == 1:
+        return ranges[0].filled
+    several = settle(_flag(heads, ranges).where("maybe").groupBy("head").agg(F.count("*").alias("n")).where("n > 1"))
+    return bloom.build(several, "head", several.count(), least=1)
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -63,8 +78,7 @@ def groups(docs: DataFrame) -> DataFrame:
     many of all rows, no row moves at all.
     """
     rows = settle(fingerprints(docs).withColumn("row", F.monotonically_increasing_id()))
-    filled = bloom.build(rows, "head", rows.count(), least=2)
-    flagged = _flag(rows, filled)
+    flagged = _flag(rows, bloom.build_ranges(rows, "head", rows.count(), least=2))
     alone = flagged.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     several = flagged.where("maybe").drop("maybe", "head")
     order = F.struct("points", F.coalesce(F.bitwise_not("doc_id"), F.lit(-(1 << 63))).alias("first"), F.bitwise_not("row").alias("row"))
@@ -82,7 +96,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     so of a large group each task sends one row a batch, and then by a window over the hash.
     """
     heads = fingerprints(docs).select("head")
-    filled = bloom.build(heads, "head", docs.count(), least=2)
+    filled = _repeated(heads, docs.count())
     sha, points, flag, place = unused(docs, "__sha", "__points", "__maybe", "__place")
     marks = T.StructType([*docs.schema, T.StructField(sha, T.BinaryType()), T.StructField(points, T.LongType()), T.StructField(flag, T.BooleanType())])
     text_at, id_at = docs.columns.index("text"), docs.columns.index("doc_id")

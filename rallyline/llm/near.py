@@ -196,21 +196,24 @@ def links(docs: DataFrame, sets_of: DataFrame, banding: Banding) -> DataFrame:
     """key, links, doc_links, root: what each bucket block found for a class. docs gives the n-gram sets."""
     bands, _ = banding.shape
     classes = sets_of.where(F.size("bands") > 0)
-    filled = bloom.build(classes, "bands", classes.count() * bands, least=2)
+    ranges = bloom.build_ranges(classes, "bands", classes.count() * bands, least=2)
 
     # Band hashes that only one class has are dropped before anything is shuffled.
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("bands")
-            flat = lists.flatten().to_numpy()
-            may = np.flatnonzero(bloom.holds(flat, filled.value))
-            at = pa.array(may // bands)
-            columns = [batch.column(c).take(at) for c in ("key", "head", "size", "bands")]
-            yield pa.record_batch([*columns, pa.array((may % bands).astype(np.int32)), pa.array(flat[may])], ["key", "head", "size", "bands", "band", "bucket"])
-
-    met = map_arrow(classes.select("key", "head", "size", "bands"), meet, "key binary, head long, size long, bands array<long>, band int, bucket long")
-    counts = met.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    met = met.join(counts, "bucket").withColumn("parts", F.ceil(F.col("n") / BLOCK_CLASSES).cast("int"))
+    def meet(part: bloom.Range) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column("bands")
+                flat = lists.flatten().to_numpy()
+                may = np.flatnonzero(part.holds(flat) & part.owns(flat))
+                at = pa.array(may // bands)
+                columns = [batch.column(c).take(at) for c in ("key", "head", "size", "bands")]
+                yield pa.record_batch([*columns, pa.array((may % bands).astype(np.int32)), pa.array(flat[may])], ["key", "head", "size", "bands", "band", "bucket"])
+
+        return map_arrow(classes.select("key", "head", "size", "bands"), run, "key binary, head long, size long, bands array<long>, band int, bucket long")
+
+    met = bloom.over_ranges(ranges, meet)
+    counts = settle(met.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    met = join_counted(met, counts, "bucket", "n").withColumn("parts", F.ceil(F.col("n") / BLOCK_CLASSES).cast("int"))
     met = met.withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
     # Block pair (low, high) of a bucket holds its parts low and high: all pairs meet in exactly one of them.
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")

@@ -65,6 +65,35 @@ def test_a_small_bitmap_only_sends_more_rows(spark, table_of, copies, monkeypatc
     check_exact(exact.groups(table_of(copies)).collect(), copies)
 
 
+@pytest.fixture
+def small_bitmaps(monkeypatch):
+    """Bitmaps with room for 64 keys."""
+    monkeypatch.setattr(bloom, "LARGEST", 1 << 10)
+    monkeypatch.setattr(bloom, "CHUNK", 1 << 10)
+
+
+def test_many_ranges_give_the_same_groups(table_of, copies, small_bitmaps):
+    docs = table_of(copies, 5)
+    assert bloom.ranges_for(len(copies)) > 3
+    check_exact(exact.groups(docs).collect(), copies)
+    assert sorted(SPACE.sub("", r["text"] or "") for r in exact.drop_copies(docs).collect()) == sorted(wanted_groups(copies))
+
+
+def test_lone_rows_do_not_shuffle_however_many_they_are(spark, monkeypatch):
+    """Ten times the keys that one bitmap has room for, one in ten of them twice."""
+    monkeypatch.setattr(bloom, "LARGEST", bloom.CHUNK)
+    n = 10 * bloom.LARGEST // bloom.PER_KEY
+    rows = spark.range(n).selectExpr("id", "xxhash64(id % int(0.9 * {})) as head".format(n)).repartition(4)
+    ranges = bloom.build_ranges(rows, "head", n, least=2)
+    assert len(ranges) == 10
+    flagged = {r["id"]: r["maybe"] for r in exact._flag(rows, ranges).collect()}
+    assert len(flagged) == n
+    first = int(0.9 * n)
+    lone = range(n - first, first)
+    assert all(flagged[i] for i in flagged if i not in lone)
+    assert sum(flagged[i] for i in lone) < 0.05 * len(lone)
+
+
 def test_bitmap_never_loses_a_key(spark):
     rng = np.random.default_rng(1)
     keys = rng.integers(-(1 << 62), 1 << 62, 3000)
@@ -147,6 +176,10 @@ def test_near_links_and_groups(table_of, near_copies):
     check_near(near.join(table_of(near_copies, 4)).collect(), near_copies)
 
 
+def test_near_links_of_many_ranges(table_of, near_copies, small_bitmaps):
+    check_near(near.join(table_of(near_copies[:120], 4)).collect(), near_copies[:120])
+
+
 def test_near_keep_one(table_of, near_copies):
     docs = table_of(near_copies, 4)
     left = near.keep_one(docs)

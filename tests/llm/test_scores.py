@@ -1,5 +1,6 @@
 """Operators 1, 7 and 8: measures by brute force, models by held-out accuracy."""
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -112,6 +113,66 @@ def test_training_takes_no_held_out_row(spark, table_of):
     assert len(sample) == 50 and all(zlib.crc32(str(i).encode()) % 5 for i in sample)
 
 
+def test_training_rows_are_bounded_when_ids_are_repeated(spark, table_of, monkeypatch):
+    docs = table_of([(i % 10, f"text {i}") for i in range(400)])
+    sample = linear.labelled(docs, labels_of(spark, [(i, i % 2, 0) for i in range(10)]), "quality", linear.remainder(5) != 0, 50)
+    seen = []
+    monkeypatch.setattr(linear, "follow_leader", lambda examples, settings: seen.append(len(examples)) or linear.Linear(0.0, np.zeros(4)))
+    linear.train(sample, quality.features, linear.Settings(max_rows=50))
+    assert sample.count() > 50 and seen == [50]
+
+
+def plain_leader(examples, s):
+    """Follow the regularised leader over dictionaries, one example and one weight at a time, by the published rule."""
+    z, n = {}, {}
+    share = sum(y for y, _ in examples) / len(examples)
+    bias, bias_n = math.log(share / (1 - share)), 1.0
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= s.l1:
+            return 0.0
+        return -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    order = np.random.default_rng(s.seed)
+    for _ in range(s.epochs):
+        for k in order.permutation(len(examples)):
+            y, features = examples[k]
+            weights = {i: weight(i) for i in features}
+            error = 1 / (1 + math.exp(-(bias + sum(weights[i] * v for i, v in features.items())))) - y
+            for i, v in features.items():
+                g = error * v
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / s.alpha
+                z[i] = z.get(i, 0.0) + g - sigma * weights[i]
+                n[i] = n.get(i, 0.0) + g * g
+            bias_n += error * error
+            bias -= s.alpha * error / math.sqrt(bias_n)
+    return bias, {i: weight(i) for i in z}
+
+
+@pytest.mark.parametrize(("module", "label", "modulus", "out"), [(quality, "quality", 5, 0), (toxicity, "toxic", 4, 2)])
+def test_scores_against_plain_python(spark, sf_dir, module, label, modulus, out):
+    """Training and dot products on all documents, from each text's features, one at a time."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    if module is toxicity:
+        restore = toxicity.Restorer(toxicity.Letters.of({r["gram"]: r["n"] for r in toxicity.trigram_counts(docs).collect()}))
+        features = lambda texts: toxicity.features(texts, restore)
+    else:
+        features = quality.features
+    own = {}
+    for r in docs.collect():
+        _, feature, value = features(pa.array([r["text"]], pa.string()))
+        own[r["doc_id"]] = dict(zip(feature.tolist(), np.float32(value).tolist(), strict=True))
+    wanted = {r["doc_id"]: r[label] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % modulus != out}
+    examples = [(wanted[i], own[i]) for i in sorted(wanted) if i in own]
+    bias, weights = plain_leader(examples, module.SETTINGS)
+    found = module.classify(docs, labels).collect()
+    assert len(found) == len(own)
+    for r in found:
+        total = bias + sum(weights.get(i, 0.0) * v for i, v in own[r["doc_id"]].items())
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-6)
+        assert r["predicted"] == (r["score"] >= 0.3)
+
+
 @pytest.fixture(scope="module")
 def restorer(spark):
     counts = toxicity.trigram_counts(spark.read.parquet(f"{SF}/documents.parquet"))
