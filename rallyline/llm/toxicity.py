@@ -4,14 +4,16 @@ A character language model (trigrams over all documents) and a channel that swap
 stretches them and spaces them out give each doubtful token a lattice of what it may have been; Viterbi decoding
 restores the likeliest. A hashed logistic regression scores the words of the restored text. A token that has no
 look-alike beside two other letters or look-alikes, no run of letters and no spaced-out letters is left as is; so is
-one of digits alone, a number.
+one of digits alone, a number. Tokens are decoded whole, whatever their length.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,16 @@ from rallyline.llm.text import Block, mix, slices
 SETTINGS = linear.Settings(max_rows=10_000, alpha=1.0, l1=8.0, epochs=8)
 #: Letters that signs and digits commonly stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
+#: Letters beyond ASCII that look like one of it though Unicode does not decompose them to it.
+WIDE_LOOKALIKES = {
+    "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ҽ": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "п": "n",
+    "о": "o", "р": "p", "ԛ": "q", "г": "r", "ѕ": "s", "т": "t", "у": "uy", "ѵ": "v", "ԝ": "w", "х": "x", "ь": "b", "и": "un",
+    "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "os", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "γ": "y",
+    "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ß": "b", "ħ": "h", "ŧ": "t",
+}
 SYMBOLS = 28  # 0 a border (anything but letters), 1 to 26 a to z, 27 a byte beyond ASCII
 SWAP, STRETCH, JOIN, BORDER, NUMBER = -1.0, -0.7, -0.5, -3.0, -12.0  # log chances of the channel, by what it did
-LONGEST = 64
+KNOWN_LENGTH = 64  # of tokens whose decoding is kept
 HEADS = (4, 7)
 KNOWN_ENTRIES = 300_000
 
@@ -86,6 +95,18 @@ class Letters:
         return cls(np.log(three))
 
 
+@lru_cache(maxsize=1 << 16)
+def meant_by(char: str) -> str | None:
+    """The letters that a character beyond ASCII may stand for: none for a sign that is not seen, None if it is no
+    look-alike."""
+    if (found := WIDE_LOOKALIKES.get(char)) is not None:
+        return found
+    if unicodedata.combining(char) or unicodedata.category(char) == "Cf":
+        return ""
+    base = unicodedata.normalize("NFKD", char)[0].lower()
+    return base if "a" <= base <= "z" else WIDE_LOOKALIKES.get(base)
+
+
 class Restorer:
     """Viterbi decoding of doubtful tokens; answers are kept in a bounded table."""
 
@@ -97,7 +118,9 @@ class Restorer:
         if (found := self.known.get(token)) is None:
             if len(self.known) > KNOWN_ENTRIES:
                 self.known.clear()
-            found = self.known[token] = self.decode(token)
+            found = self.decode(token)
+            if len(token) <= KNOWN_LENGTH:
+                self.known[token] = found
         return found
 
     def lattice(self, token: str) -> list[list[tuple[str, float]]]:
@@ -108,9 +131,15 @@ class Restorer:
         for m in re.finditer(r"(.)\1*", token, re.DOTALL):
             char, times = m[1], len(m[0])
             meant = LOOKALIKES.get(char, "") if char not in "!|+" or m.end() < len(token) else ""
-            letters = [(char, 0.0)] if char.isalpha() else [(c, SWAP) for c in meant]
+            wide = None if char.isascii() else meant_by(char)
+            if wide == "":
+                places.append([("", 0.0)])
+                continue
+            letters = [(char, 0.0)] if char.isalpha() else []
+            letters += [(c, SWAP) for c in wide or meant]
             options = [(c * k, cost + (0.0 if k == times else STRETCH)) for c, cost in letters for k in ({1, 2, times} if times > 1 else {times})]
             if not char.isalpha():
+                meant = meant or wide
                 options.append((" ", NUMBER if char.isdigit() and meant else BORDER if meant or linked else 0.0))
                 if char in ".-_*~+/ ":
                     options.append(("", JOIN if linked or char == " " else BORDER))
@@ -118,28 +147,30 @@ class Restorer:
         return places
 
     def decode(self, token: str) -> str:
+        """The likeliest path through the lattice, in time and memory that grow with the token's length alone."""
         log = self.log
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        best: dict[tuple[int, int], float] = {(0, 0): 0.0}
+        steps: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
         for options in [*self.lattice(token), [(" ", 0.0)]]:
-            following: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in states.items():
+            following: dict[tuple[int, int], float] = {}
+            came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+            for state, score in best.items():
                 for letters, cost in options:
-                    x, y, total = a, b, score + cost
+                    (x, y), total = state, score + cost
                     for c in letters:
                         z = 0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else 27
                         if z or y:
                             total += log[x][y][z]
                         x, y = (y, z) if z else (0, 0)
-                    held = following.get((x, y))
-                    if held is None or total > held[0]:
-                        following[x, y] = (total, text + letters)
-            states = following
-        return max(states.values())[1].strip()
-
-
-def _stretches(token: str) -> list[str]:
-    """A long token in overlapping stretches, so that decoding is linear and each word of up to half one is whole in one."""
-    return [token[k : k + LONGEST] for k in range(0, max(len(token) - LONGEST // 2, 1), LONGEST // 2)]
+                    if total > following.get((x, y), -np.inf):
+                        following[x, y], came[x, y] = total, (state, letters)
+            best = following
+            steps.append(came)
+        state, out = max(best, key=best.get), []
+        for came in reversed(steps):
+            state, letters = came[state]
+            out.append(letters)
+        return "".join(reversed(out)).strip()
 
 
 def _doubtful(block: Block) -> list[tuple[int, str]]:
@@ -161,15 +192,23 @@ def _doubtful(block: Block) -> list[tuple[int, str]]:
     stretched = (own >= 3) & (doubles[np.maximum(end - 1, begin)] > doubles[begin])
     linked = (own + count(digits) >= 3) & (count(links) >= own + count(digits) - 1)
     data = raw.tobytes()
-    tokens = [(int(block.doc[i]), part) for i in np.flatnonzero(swapped | stretched | linked).tolist() for part in _stretches(data[begin[i] : end[i]].decode("utf-8", "replace"))]
+    decoded = lambda i: data[begin[i] : end[i]].decode("utf-8", "replace")
+    plain = swapped | stretched | linked
+    tokens = [(int(block.doc[i]), decoded(i)) for i in np.flatnonzero(plain).tolist()]
+    wide = total(raw >= 128)
+    for i in np.flatnonzero(~plain & (count(wide) > 0)).tolist():  # beside ASCII letters any look-alike, without them nothing else
+        token = decoded(i)
+        some = [meant_by(c) is not None for c in token if c > "\x7f"]
+        if all(some) or any(some) and any("a" <= c <= "z" for c in token):
+            tokens.append((int(block.doc[i]), token))
     single = (size <= 2) & (own + count(digits) == 1) | (size == 1) & (count(likes) == 1)
     edges = np.diff(np.concatenate([[0], single.astype(np.int8), [0]]))
     for a, b in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True):
         for doc in np.unique(block.doc[a:b]).tolist() if b - a >= 3 else ():
-            mine = [data[begin[i] : end[i]].decode("utf-8", "replace") for i in range(a, b) if block.doc[i] == doc]
+            mine = [decoded(i) for i in range(a, b) if block.doc[i] == doc]
             joined = " ".join("".join(c for c in w if c.isalnum() or c in LOOKALIKES) for w in mine)  # a blank may be a border or none, the first letter a word
             if len(mine) >= 3 and len(set(joined.lower()) - {" "}) > 2:
-                tokens += [(doc, part) for whole in (joined, joined.replace(" ", ""), joined.partition(" ")[2]) for part in _stretches(whole)]
+                tokens += [(doc, whole) for whole in (joined, joined.replace(" ", ""), joined.partition(" ")[2])]
     return tokens
 
 

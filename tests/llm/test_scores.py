@@ -1,5 +1,6 @@
 """Operators 1, 7 and 8: measures by brute force, models by held-out accuracy."""
 
+import itertools
 import math
 import re
 import zlib
@@ -202,6 +203,56 @@ def test_spaced_out_letters_have_borders_and_signs(restorer, text, word):
     assert set(toxicity.features(pa.array([word]), restorer)[1]) <= set(own)
 
 
+def every_path(restorer, token):
+    """The likeliest path of a token's lattice, by going through all of them."""
+    best = None
+    for path in itertools.product(*restorer.lattice(token), [(" ", 0.0)]):
+        x = y = 0
+        score = sum(cost for _, cost in path)
+        for c in "".join(letters for letters, _ in path):
+            z = 0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else 27
+            score += restorer.log[x][y][z] if z or y else 0.0
+            x, y = (y, z) if z else (0, 0)
+        if best is None or score > best[0] + 1e-9:
+            best = score, "".join(letters for letters, _ in path).strip()
+    return best
+
+
+def score_of(restorer, text, token):
+    """The best score of a token's paths that spell text."""
+    scores = []
+    for path in itertools.product(*restorer.lattice(token), [(" ", 0.0)]):
+        spelt = "".join(letters for letters, _ in path)
+        if spelt.strip() == text:
+            x = y = 0
+            score = sum(cost for _, cost in path)
+            for c in spelt:
+                z = 0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else 27
+                score += restorer.log[x][y][z] if z or y else 0.0
+                x, y = (y, z) if z else (0, 0)
+            scores.append(score)
+    return max(scores)
+
+
+@pytest.mark.parametrize("token", ["m0r0n", "1d10t", "s.t.u.p", "l o s e r", "ssttuupp", "5h17", "fυck", "a1b2c3", "tr@@sh!", "4$$", "мoron", "x--y"])
+def test_decoding_finds_the_likeliest_of_all_paths(restorer, token):
+    score, _ = every_path(restorer, token)
+    assert score_of(restorer, restorer.decode(token), token) == pytest.approx(score)
+
+
+@pytest.mark.parametrize(("token", "word"), [("mοrοn", "moron"), ("ｍｏｒｏｎ", "moron"), ("m\u200bo\u200bron", "moron"), ("mörön", "moron"), ("ѕtuріd", "stupid"), ("sh\u0336it", "shit"), ("𝐢diot", "idiot")])
+def test_look_alikes_beyond_ascii(restorer, token, word):
+    own = toxicity.features(pa.array([f"you {token} you"]), restorer)[1]
+    assert set(toxicity.features(pa.array([word]), restorer)[1]) <= set(own)
+
+
+@pytest.mark.parametrize("where", [0, 7, 31, 32, 33, 400])
+def test_a_word_anywhere_in_a_long_chain_is_found(restorer, where):
+    chain = ["word"] * where + ["m0r0n"] + ["word"] * 40
+    own = toxicity.features(pa.array(["-".join(chain)]), restorer)[1]
+    assert set(toxicity.features(pa.array(["moron"]), restorer)[1]) <= set(own)
+
+
 def test_long_tokens_are_restored_too(restorer):
     own = toxicity.features(pa.array(["-".join(["word"] * 30) + "-m0r0n-" + "-".join(["word"] * 30)]), restorer)[1]
     assert set(toxicity.features(pa.array(["moron"]), restorer)[1]) <= set(own)
