@@ -51,7 +51,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column,
 
     Contradicting labels of one id count as the lower one; ids and labels that are null are left out. Only the
     narrow labels are sorted; the chosen ids, at most max_rows, are broadcast to the texts. An id
-    on several rows gives several; train() bounds the rows too.
+    on several rows gives several, of which train() uses one, so the bound holds for rows too.
     """
     wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(may_learn & F.col("label").isNotNull() & F.col("doc_id").isNotNull())
     wanted = wanted.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -59,8 +59,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column,
 
 
 def train(sample: DataFrame, features: Features, settings: Settings) -> Linear:
-    """Fit on doc_id, text, label, on at most settings.max_rows rows: those with the least hashes of id and features.
-    Without rows of both labels the model knows nothing and scores 0.5."""
+    """Fit on doc_id, text, label. Without rows of both labels the model knows nothing and scores 0.5."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         owner, feature, value = features(batch.column("text"))
@@ -70,8 +69,8 @@ def train(sample: DataFrame, features: Features, settings: Settings) -> Linear:
         return pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array([f for f, _ in parts], pa.binary()), pa.array([v for _, v in parts], pa.binary())], ["doc_id", "label", "features", "vals"])
 
     rows = map_blocks(sample, work, "doc_id long, label int, features binary, vals binary")
-    rows = rows.orderBy(F.xxhash64("doc_id"), F.xxhash64("features", "vals")).limit(settings.max_rows).toLocalIterator()
-    kept = sorted((r["doc_id"], r["label"], bytes(r["features"]), bytes(r["vals"])) for r in rows)
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("label", "features", "vals")).alias("r")).select("doc_id", "r.*")
+    kept = sorted((r["doc_id"], r["label"], bytes(r["features"]), bytes(r["vals"])) for r in rows.toLocalIterator())
     examples = [(float(y), np.frombuffer(f, np.int32), np.frombuffer(v, np.float32).astype(float)) for _, y, f, v in kept]
     if len({y for y, _, _ in examples}) < 2:
         return Linear(0.0, np.zeros(1 << settings.bits))

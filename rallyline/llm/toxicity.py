@@ -107,6 +107,15 @@ def meant_by(char: str) -> str | None:
     return base if "a" <= base <= "z" else WIDE_LOOKALIKES.get(base)
 
 
+#: First bytes of characters beyond ASCII other than accented letters of Latin scripts and the usual marks.
+_STRANGE = np.zeros(256, bool)
+_STRANGE[[*range(0xC6, 0xE0), 0xE1, *range(0xEF, 0xF5)]] = True
+#: By first (0xC3 to 0xC5) and second byte of a letter, the ASCII letter that it has an accent on, or 0.
+_UNACCENTED = np.zeros((3, 256), np.uint8)
+for _point in range(0xC0, 0x180):
+    _UNACCENTED[(_point >> 6) - 3, 0x80 | _point & 0x3F] = ord((meant_by(chr(_point).lower()[0]) or "\0")[0])
+
+
 class Restorer:
     """Viterbi decoding of doubtful tokens; answers are kept in a bounded table."""
 
@@ -125,7 +134,7 @@ class Restorer:
 
     def lattice(self, token: str) -> list[list[tuple[str, float]]]:
         """For each place what it may have been, with the channel's log chance; ' ' is a border."""
-        token = token.lower()
+        token = unicodedata.normalize("NFKC", token).lower()  # wide and mathematical letters are the letters themselves
         linked = " " in token or bool(_CHAIN.fullmatch(token))
         places: list[list[tuple[str, float]]] = []
         for m in re.finditer(r"(.)\1*", token, re.DOTALL):
@@ -162,8 +171,9 @@ class Restorer:
                         if z or y:
                             total += log[x][y][z]
                         x, y = (y, z) if z else (0, 0)
-                    if total > following.get((x, y), -np.inf):
-                        following[x, y], came[x, y] = total, (state, letters)
+                    held = following.get(key := (x, y))
+                    if held is None or total > held:
+                        following[key], came[key] = total, (state, letters)
             best = following
             steps.append(came)
         state, out = max(best, key=best.get), []
@@ -173,6 +183,15 @@ class Restorer:
         return "".join(reversed(out)).strip()
 
 
+def _strange(raw: np.ndarray) -> np.ndarray:
+    """Where a character begins that may be a disguise; of those that begin with 0xE2, unseen signs and letter forms."""
+    out = _STRANGE[raw]
+    at = np.flatnonzero(raw == 0xE2)
+    second, third = raw[at + 1], raw[at + 2]
+    out[at] = np.isin(second, (0x84, 0x92, 0x93)) | (second == 0x80) & (third >= 0x8B) & (third <= 0x8F) | (second == 0x81) & (third >= 0xA0)
+    return out
+
+
 def _doubtful(block: Block) -> list[tuple[int, str]]:
     """Texts and tokens whose lattice has more than one path; spaced-out single letters are joined first."""
     raw, n = block.raw, len(block.raw)
@@ -195,8 +214,7 @@ def _doubtful(block: Block) -> list[tuple[int, str]]:
     decoded = lambda i: data[begin[i] : end[i]].decode("utf-8", "replace")
     plain = swapped | stretched | linked
     tokens = [(int(block.doc[i]), decoded(i)) for i in np.flatnonzero(plain).tolist()]
-    wide = total(raw >= 128)
-    for i in np.flatnonzero(~plain & (count(wide) > 0)).tolist():  # beside ASCII letters any look-alike, without them nothing else
+    for i in np.flatnonzero(~plain & (count(total(_strange(raw))) > 0)).tolist():  # beside ASCII letters any look-alike, without them nothing else
         token = decoded(i)
         some = [meant_by(c) is not None for c in token if c > "\x7f"]
         if all(some) or any(some) and any("a" <= c <= "z" for c in token):
@@ -212,13 +230,33 @@ def _doubtful(block: Block) -> list[tuple[int, str]]:
     return tokens
 
 
+def _without_accents(block: Block) -> tuple[Block, np.ndarray]:
+    """The words that have letters with accents, without these, and their texts."""
+    raw = block.raw
+    following = np.append(raw[1:], np.uint8(0))
+    plain = np.where((raw >= 0xC3) & (raw <= 0xC5), _UNACCENTED[np.clip(raw, 0xC3, 0xC5) - 0xC3, following], 0)
+    sums = np.concatenate([[0], np.cumsum(plain > 0)])
+    words = np.flatnonzero(sums[block.end] > sums[block.begin])
+    size = (block.end - block.begin)[words]
+    ends = np.cumsum(size)
+    places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(block.begin[words] - (ends - size), size)
+    keep = plain[places - 1] == 0  # not the second byte of such a letter; a word's first byte never is one
+    keep[(ends - size)] = True
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    data = np.where(plain > 0, plain, raw)[places][keep].astype(np.uint8)
+    offsets = kept[np.append(0, ends)].astype(np.int64)
+    array = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(offsets), pa.py_buffer(data))
+    return Block(array, lower=True), block.doc[words]
+
+
 def features(texts: pa.Array, restore: Restorer, bits: int = SETTINGS.bits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which words and word beginnings (of HEADS bytes) a text has, restored words included."""
+    """Which words and word beginnings (of HEADS bytes) a text has, restored words and words without their accents
+    included."""
     block = Block(texts, lower=True)
     restored = [(doc, restore(token)) for doc, token in _doubtful(block)]
     extra = Block(pa.array([text for _, text in restored], pa.string()), lower=True)
     owners, found = [], []
-    for part, doc_of in ((block, None), (extra, np.array([doc for doc, _ in restored], np.int64))):
+    for part, doc_of in ((block, None), (extra, np.array([doc for doc, _ in restored], np.int64)), _without_accents(block)):
         begin, end, doc = part.runs(_LETTER[part.raw])
         doc = doc if doc_of is None else doc_of[doc]
         for head in (0, *HEADS):
