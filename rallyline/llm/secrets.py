@@ -4,8 +4,9 @@ Three kinds of secret are looked for in the text itself (the base spans). Then e
 searched for encoded stretches (percent escapes, backslash-u escapes, base64, two-byte characters) and for
 compressed bytes. A layer is its parent with the stretches of one kind decoded in place, so that a key and its
 value meet though only one is encoded, or what a base64 or compressed stretch holds, until nothing decodes to
-anything new. A hash of every layer seen breaks cycles. A secret in a layer is reported over the characters of the
-text that it was decoded from. All patterns are ASCII, so bytes are read as Latin-1, which loses none.
+anything new. A hash of every layer seen breaks cycles. Every layer maps its characters to its parent's, so a secret
+in it is reported over the characters of the text that it was decoded from: to the escape or the base64 digit, for
+compressed bytes the whole stretch. Stretches are decoded when their turn comes, one at a time. All patterns are ASCII, so bytes are read as Latin-1, which loses none.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,13 +39,16 @@ KEY = re.compile(r"password|passwd|secret|token|api_?key", re.IGNORECASE | re.AS
 # Stretches that may be encoded, each with what one must hold to be so; runs are maximal, so matching is linear.
 PERCENT_RUN = re.compile(r"[A-Za-z0-9_.~+=:/&?%-]+")
 PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
-ESCAPE_RUN = re.compile(r"[A-Za-z0-9_.=:/+\\-]+")
-ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+ESCAPE_RUN = re.compile(r"[A-Za-z0-9_.=:/+\\{}&#;-]+")
+ESCAPE = re.compile(
+    r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});"
+)
 WIDE = re.compile(r"(?:[\x01-\xff]\x00(?:\x00\x00)?){8,}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]{16,})*(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)?={0,2}")
 WRAPPED_TAIL = re.compile(r"[A-Za-z0-9+/_\r\n\x20\t-]+")
 LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+NO_BYTE = re.compile(r"[^\x00-\xff]")
 LEAST = 16  # characters of the shortest secret
 _ZLIB = "".join(f"|\\x{c:02x}[{''.join(f'\\x{f:02x}' for f in range(256) if (c << 8 | f) % 31 == 0 and not f & 32)}]" for c in range(0x08, 0x88, 0x10))
 PACKED = re.compile(r"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00" + _ZLIB)
@@ -85,16 +90,48 @@ def _scan(text: str, assigned: Iterator[re.Match]) -> list[Span]:
     return sorted(found)
 
 
-def _unpercent(part: str) -> str:
-    return PERCENT.sub(lambda m: chr(int(m[1], 16)), part)
+#: Of what is decoded in place: begin and end in the run, what it becomes, and how many characters stand for how many.
+InPlace = tuple[int, int, str, int, int]
+
+
+def _escapes(part: str, escape: re.Pattern, char: Callable[[re.Match], str]) -> list[InPlace] | None:
+    """A run with its escapes decoded; neighbouring ones of the same width are one piece."""
+    out: list[list] = []
+    done = 0
+    for m in escape.finditer(part):
+        if not (new := char(m)):
+            continue
+        if m.start() > done:
+            out.append([done, m.start(), [part[done : m.start()]], 1])
+        if out and out[-1][1] == m.start() and out[-1][3] == len(m[0]):
+            out[-1][1] = m.end()
+            out[-1][2].append(new)
+        else:
+            out.append([m.start(), m.end(), [new], len(m[0])])
+        done = m.end()
+    if not out:
+        return None
+    if done < len(part):
+        out.append([done, len(part), [part[done:]], 1])
+    return [(a, b, "".join(new), width, 1) for a, b, new, width in out]
+
+
+def _unescaped(m: re.Match) -> str:
+    code = int(m[6]) if m[6] else int(next(g for g in m.groups() if g), 16)
+    return chr(code) if code < 0x110000 else ""
+
+
+def _unpercent(part: str) -> list[InPlace] | None:
+    return _escapes(part, PERCENT, lambda m: chr(int(m[1], 16)))
 
 
-def _unescape(part: str) -> str:
-    return ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)), part)
+def _unescape(part: str) -> list[InPlace] | None:
+    return _escapes(part, ESCAPE, _unescaped)
 
 
-def _narrow(part: str) -> str:
-    return part.replace("\0", "")
+def _narrow(part: str) -> list[InPlace] | None:
+    new = part.replace("\0", "")
+    return [(0, len(part), new, 0 if len(part) % len(new) else len(part) // len(new), 1)]
 
 
 def _bytes64(body: str) -> bytes:
@@ -103,21 +140,30 @@ def _bytes64(body: str) -> bytes:
     return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
-def _plain64(part: str) -> str:
+def _plain64(part: str) -> list[InPlace] | None:
     """What base64 of a text holds; any other stretch stays as it is."""
     try:
         text = _bytes64(part.rstrip("=")).decode()
     except UnicodeDecodeError:
-        return part
-    return text if all(c.isprintable() or c in "\t\r\n" for c in text) else part
+        return None
+    if not text.translate(_PRINTED).isprintable():
+        return None
+    return [(0, len(part), text, *((4, 3) if text.isascii() else (0, 1)))]
+
 
+_PRINTED = dict.fromkeys(map(ord, "\t\r\n"))
 
-#: Decoded in place: the runs, what one must hold, how, and of a run cut by a window's end how much stays with what follows.
+
+def _text(pieces: list[InPlace] | None, part: str) -> str:
+    return "".join(p[2] for p in pieces) if pieces else part
+
+
+#: Decoded in place: the runs, what one must hold and a character of that, how, and of a run cut by a window's end how much stays with what follows.
 DECODERS = (
-    (PERCENT_RUN, PERCENT, _unpercent, re.compile(r"%[0-9A-Fa-f]?\Z")),
-    (ESCAPE_RUN, ESCAPE, _unescape, re.compile(r"\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?\Z")),
-    (WIDE, re.compile("\0"), _narrow, None),
-    (BASE64, BASE64, _plain64, None),
+    (PERCENT_RUN, PERCENT, "%", _unpercent, re.compile(r"%[0-9A-Fa-f]?\Z")),
+    (ESCAPE_RUN, ESCAPE, "\\&", _unescape, re.compile(r"(?:\\(?:u(?:[0-9A-Fa-f]{0,3}|\{[0-9A-Fa-f]{0,6})|U[0-9A-Fa-f]{0,7}|x[0-9A-Fa-f]?)?|&(?:#[xX]?[0-9A-Fa-f]{0,7})?)\Z")),
+    (WIDE, re.compile("\0"), "\0", _narrow, None),
+    (BASE64, BASE64, ("",), _plain64, None),
 )
 
 
@@ -195,7 +241,7 @@ def _from(source: Source, offset: int) -> Iterator[bytes]:
         offset = max(offset - len(chunk), 0)
 
 
-def _run_of(chunks: Iterator[bytes], run: re.Pattern, decode: Callable[[str], str], cut: re.Pattern) -> Iterator[bytes]:
+def _run_of(chunks: Iterator[bytes], run: re.Pattern, decode: Callable[[str], list[InPlace] | None], cut: re.Pattern) -> Iterator[bytes]:
     """A run of escapes that goes on beyond a window, decoded to its end."""
     held = ""
     for chunk in chunks:
@@ -203,13 +249,13 @@ def _run_of(chunks: Iterator[bytes], run: re.Pattern, decode: Callable[[str], st
         m = run.match(held)
         whole = m[0] if m else ""
         if len(whole) < len(held):
-            yield decode(whole).encode("latin-1", "replace")
+            yield _text(decode(whole), whole).encode("latin-1", "replace")
             return
         tail = cut.search(held)
         keep = tail.start() if tail else len(held)
-        yield decode(held[:keep]).encode("latin-1", "replace")
+        yield _text(decode(held[:keep]), held[:keep]).encode("latin-1", "replace")
         held = held[keep:]
-    yield decode(held).encode("latin-1", "replace")
+    yield _text(decode(held), held).encode("latin-1", "replace")
 
 
 def _run_of_64(chunks: Iterator[bytes], skip: int) -> Iterator[bytes]:
@@ -228,65 +274,92 @@ def _run_of_64(chunks: Iterator[bytes], skip: int) -> Iterator[bytes]:
     yield _bytes64(held)
 
 
+#: Begin and end in the parent, how many of its characters stand for how many (0: only the whole for the whole), and
+#: whether they were decoded, here or before.
+Part = tuple[int, int, int, int, bool]
+
+
+def _bytes(text: str, start: int, stop: int) -> bytes:
+    """The characters from start on as bytes, up to stop or to the first that is none."""
+    try:
+        return text[start:stop].encode("latin-1")
+    except UnicodeEncodeError as fault:
+        return text[start : start + fault.start].encode("latin-1")
+
+
 @dataclass
 class Layer:
-    """A text in parts: where each begins, the document's characters it stands for, and whether it is those as they are."""
+    """A text in parts: where each begins and what of the parent it comes from. The root has none."""
 
     text: str
     at: list[int]
-    parts: list[tuple[int, int, bool]]
+    parts: list[Part]
+    parent: Layer | None = None
 
     @classmethod
-    def flat(cls, text: str, start: int, end: int, same: bool = False) -> Layer:
-        return cls(text, [0], [(start, end, same)])
+    def root(cls, text: str) -> Layer:
+        return cls(text, [0], [(0, len(text), 1, 1, False)])
+
+    def flat(self, text: str, start: int, end: int) -> Layer:
+        """What all the characters from start to end stand for."""
+        return Layer(text, [0], [(start, end, 0, 1, True)], self)
 
     def origin(self, start: int, end: int) -> tuple[int, int, bool]:
         """The document's characters from start to end of the layer, and whether any of it was decoded."""
-        i, j = bisect_right(self.at, start) - 1, bisect_right(self.at, max(end - 1, start)) - 1
-        (a, _, same), (c, b, last) = self.parts[i], self.parts[j]
-        return (a + start - self.at[i] if same else a), (c + end - self.at[j] if last else b), not all(p[2] for p in self.parts[i : j + 1])
-
-    def decoded(self, i: int) -> tuple[int, int, int]:
-        """Of the decoded parts around part i without a gap: where they end here, and the characters they stand for."""
-        j = i
-        while j + 1 < len(self.parts) and not self.parts[j + 1][2]:
-            j += 1
-        return (self.at[j + 1] if j + 1 < len(self.at) else len(self.text)), self.parts[i][0], self.parts[j][1]
-
-    def replaced(self, runs: list[tuple[int, int, str]]) -> Layer:
+        layer, new = self, any(p[4] for p in self.parts[bisect_right(self.at, start) - 1 : bisect_right(self.at, max(end - 1, start))])
+        while layer.parent:
+            last = max(end - 1, start)
+            i, j = bisect_right(layer.at, start) - 1, bisect_right(layer.at, last) - 1
+            (a, _, up, down, _), (c, d, up_last, down_last, _) = layer.parts[i], layer.parts[j]
+            start = a + (start - layer.at[i]) * up // down
+            end = min(d, c + ((last - layer.at[j] + 1) * up_last - 1) // down_last + 1) if up_last else d
+            layer = layer.parent
+        return start, end, new
+
+    def decoded_until(self, i: int) -> int:
+        """Where the decoded parts from part i on end that have no gap between them."""
+        while i + 1 < len(self.parts) and self.parts[i + 1][4]:
+            i += 1
+        return self.at[i + 1] if i + 1 < len(self.at) else len(self.text)
+
+    def replaced(self, runs: list[tuple[int, list[InPlace]]]) -> Layer:
+        """This layer with runs decoded in place."""
         out, at, parts, size, done, i = [], [], [], 0, 0, 0
-        for start, end, new in [*runs, (len(self.text), len(self.text), "")]:
+        for start, pieces in [*runs, (len(self.text), [])]:
             while done < start:  # parts of what stays
                 while i + 1 < len(self.at) and self.at[i + 1] <= done:
                     i += 1
                 stop = min(start, self.at[i + 1] if i + 1 < len(self.at) else start)
-                a, b, same = self.parts[i]
                 at.append(size)
-                parts.append((a + done - self.at[i], a + stop - self.at[i], True) if same else (a, b, False))
+                parts.append((done, stop, 1, 1, self.parts[i][4]))
                 out.append(self.text[done:stop])
                 size, done = size + stop - done, stop
-            if new:
-                a, b, _ = self.origin(start, end)
-                at.append(size)
-                parts.append((a, b, False))
-                out.append(new)
-                size += len(new)
-            done = end
-        return Layer("".join(out), at, parts)
+            for a, b, new, up, down in pieces:
+                if new:
+                    at.append(size)
+                    parts.append((start + a, start + b, up, down, True))
+                    out.append(new)
+                    size += len(new)
+                done = start + b
+        return Layer("".join(out), at, parts, self)
 
 
 class Search:
-    """The worklist of one document."""
+    """The worklist of one document: layers, and stretches that give layers when their turn comes."""
 
     def __init__(self, text: str, limits: Limits):
         self.limits, self.base = limits, scan(text)
         self.found, self.seen, self.work = set(self.base), set(), []
-        self.add(Layer.flat(text, 0, len(text), True))
+        self.add(Layer.root(text))
         self.drain()
 
     def drain(self) -> None:
         while self.work:
-            self.look(self.work.pop())
+            item = self.work.pop()
+            if isinstance(item, Layer):
+                self.look(item)
+            else:
+                item()
 
     def new(self, start: int, end: int, digest) -> bool:
         digest.update(f":{start}:{end}".encode())
@@ -294,53 +367,53 @@ class Search:
         return key not in self.seen and not self.seen.add(key)
 
     def add(self, layer: Layer) -> None:
-        if layer.text and self.new(layer.parts[0][0], layer.parts[-1][1], hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16)):
+        if layer.text and self.new(*layer.origin(0, len(layer.text))[:2], hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16)):
             self.work.append(layer)
 
     def look(self, layer: Layer, source: Source | None = None, before: int = 0) -> None:
         """Scan a layer and put what decodes on the list; source continues a layer that is but a window of more, and
         what lies in its first `before` characters has been seen."""
-        text, root = layer.text, len(layer.parts) == 1 and layer.parts[0][2]
+        text, root = layer.text, not layer.parent
         for start, kind, end in () if root else _scan(text, _any_assign(text)):
             a, b, new = layer.origin(start, end)
             if new:
                 self.found.add((a, kind, b))
-        for run, sign, decode, _ in DECODERS:
-            if not sign or sign.search(text):
-                runs = [(m.start(), m.end(), inner) for m in run.finditer(text) if (not sign or sign.search(m[0])) and (inner := decode(m[0])) != m[0]]
+        for run, sign, marks, decode, _ in DECODERS:
+            if sign.search(text):
+                runs = [(m.start(), pieces) for m in run.finditer(text) if any(c in m[0] for c in marks) and (pieces := decode(m[0]))]
                 if runs:
                     self.add(layer.replaced(runs))
         for m in WRAPPED.finditer(text):
             if not source or not WRAPPED_TAIL.fullmatch(text, max(m.start(), len(text) - self.limits.carried // 2)):
-                self.base64(layer, m)  # a run that may go on beyond the window is read on from the source
+                for skip in range(4):  # a run that may go on beyond the window is read on from the source
+                    self.work.append(partial(self.base64, layer, m.start(), m.end(), skip))
         for m in () if root else PACKED.finditer(text, before):
             i = bisect_right(layer.at, m.start()) - 1
-            if layer.parts[i][2]:
+            if not layer.parts[i][4]:
                 continue
-            stop, a, b = layer.decoded(i)
-            far = re.compile(r"[^\x00-\xff]").search(text, m.start(), stop)
-            self.unpack(text, m.start(), far.start() if far else stop, a, b, source)
-
-    def base64(self, layer: Layer, m: re.Match) -> None:
-        """The bytes of a stretch in each of the four alignments, line by line for where they come from."""
-        lines = [(p.start(), p.end(), p[0].rstrip("=")) for p in LINE.finditer(layer.text, m.start(), m.end())]
-        body = "".join(p for _, _, p in lines)
-        for skip in range(4):
-            text = _bytes64(body[skip:]).decode("latin-1")
-            if len(text) < LEAST:
-                break
-            at, parts, size = [], [], 0
-            for start, end, part in lines:
-                a, b, _ = layer.origin(start, end)
-                at.append(max(size - skip, 0) * 3 // 4)
-                parts.append((a, b, False))
-                size += len(part)
-            self.add(Layer(text, at, parts))
-
-    def unpack(self, text: str, start: int, stop: int, a: int, b: int, source: Source | None) -> None:
-        piece, ended = self.limits.piece, []
-        if not any([*unpacked([text[start : min(stop, start + 4096)].encode("latin-1")], piece, ended)]) and not ended:
+            self.unpack(layer, m.start(), layer.decoded_until(i), source)
+
+    def base64(self, layer: Layer, first: int, last: int, skip: int) -> None:
+        """The bytes of a stretch without its first `skip` digits, line by line for where they come from."""
+        body, at, parts, size = [], [], [], -skip
+        for line in LINE.finditer(layer.text, first, last):
+            digits = line[0].rstrip("=")
+            body.append(digits)
+            begin = line.start() + max(-size, 0)
+            if size + len(digits) > 0:
+                at.append((max(size, 0) * 3 + 3) // 4)
+                parts.append((begin, line.end(), 4, 3, True))
+            size += len(digits)
+        text = _bytes64("".join(body)[skip:]).decode("latin-1")
+        if len(text) >= LEAST:
+            self.add(Layer(text, at, parts, layer))
+
+    def unpack(self, layer: Layer, start: int, stop: int, source: Source | None) -> None:
+        text, piece, ended = layer.text, self.limits.piece, []
+        if not any([*unpacked([_bytes(text, start, min(stop, start + 4096))], piece, ended)]) and not ended:
             return  # a fault at the beginning: these bytes only look compressed
+        if far := NO_BYTE.search(text, start, stop):
+            stop = far.start()
         parts = lambda: (text[k : min(k + (1 << 16), stop)].encode("latin-1") for k in range(start, stop, 1 << 16))
         own = lambda: unpacked(parts(), piece)
         if source:  # of a window: only what begins well and goes on beyond it is read from the source
@@ -349,10 +422,10 @@ class Search:
                 pass
             if ended:
                 own = lambda: unpacked(_from(source, start), piece)
-        self.dive(own, a, b)
+        self.work.append(partial(self.dive, own, layer, start, stop))
 
-    def dive(self, source: Source, a: int, b: int) -> None:
-        """A stretch of any length, all of which stands for the characters from a to b."""
+    def dive(self, source: Source, layer: Layer, start: int, stop: int) -> None:
+        """A stretch of any length, all of which stands for the layer's characters from start to stop."""
         head = bytearray()
         for piece in source():
             head += piece
@@ -360,16 +433,16 @@ class Search:
                 break
         else:
             if head:
-                self.add(Layer.flat(head.decode("latin-1"), a, b))
+                self.add(layer.flat(head.decode("latin-1"), start, stop))
             return
         del head
         digest = hashlib.blake2b(digest_size=16)
         for piece in source():
             digest.update(piece)
-        if self.new(a, b, digest):
-            self.windows(source, a, b)
+        if self.new(*layer.origin(start, stop)[:2], digest):
+            self.windows(source, layer, start, stop)
 
-    def windows(self, source: Source, a: int, b: int) -> None:
+    def windows(self, source: Source, layer: Layer, a: int, b: int) -> None:
         held, begun, first, open_runs = bytearray(), 0, True, set()
         pieces = source()
         piece = next(pieces, None)
@@ -381,7 +454,7 @@ class Search:
             text = held.decode("latin-1")
             later, self.work = self.work, []
             rest = lambda k=begun: _from(source, k)
-            self.look(Layer.flat(text, a, b), rest if piece is not None else None, 0 if first else self.limits.carried - 8)
+            self.look(layer.flat(text, a, b), rest if piece is not None else None, 0 if first else self.limits.carried - 8)
             self.drain()
             for k, (run, cut) in enumerate([(d[0], d) for d in DECODERS[:2]] + [(WRAPPED, None)] if piece is not None else ()):
                 tail = text[-self.limits.carried // 2 :]  # a shorter run is whole in the next window
@@ -391,10 +464,10 @@ class Search:
                     if k not in open_runs or m.start() > 0:
                         start = begun + m.start()
                         if cut:
-                            self.dive(lambda: _run_of(_from(source, start), run, cut[2], cut[3]), a, b)  # noqa: B023
+                            self.dive(lambda: _run_of(_from(source, start), run, cut[3], cut[4]), layer, a, b)  # noqa: B023
                         else:
                             for skip in range(4):
-                                self.dive(lambda: _run_of_64(_from(source, start), skip), a, b)  # noqa: B023
+                                self.dive(lambda: _run_of_64(_from(source, start), skip), layer, a, b)  # noqa: B023
                         self.drain()
                     open_runs.add(k)
                     break
