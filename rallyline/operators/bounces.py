@@ -94,12 +94,13 @@ def camera_regions(geometry: DataFrame) -> DataFrame:
     """geometry with launcher_region, return_region and tracking_region: (left, top, right, bottom) arrays.
 
     geometry(camera_id, width, height, table_top, table_bottom, player_x, opponent_x). With the opponent to the right the
-    launcher is on the right of the view and returns come from its left; else the other way round.
+    launcher is on the right of the view and returns come from its left; else the other way round. Edges of the view
+    are its last pixels; a table is taken to be a pixel high or more.
     """
     right, w, h = F.col("opponent_x") >= F.col("player_x"), F.col("width").cast("double"), F.col("height").cast("double")
-    box = lambda a, b: F.array(w * a, F.lit(0.0), w * b, h)
-    tall = F.col("table_bottom") - F.col("table_top")
-    corridor = F.array(F.lit(0.0), F.greatest(F.lit(0.0), F.col("table_top") - 1.5 * tall), w, F.least(h, F.col("table_bottom") + 0.5 * tall))
+    box = lambda a, b: F.array(w * a, F.lit(0.0), w - 1 if b == 1 else w * b, h - 1)
+    tall = F.greatest(F.col("table_bottom") - F.col("table_top"), F.lit(1.0))
+    corridor = F.array(F.lit(0.0), F.greatest(F.lit(0.0), F.col("table_top") - 1.5 * tall), w - 1, F.least(h - 1, F.col("table_bottom") + 0.5 * tall))
     return geometry.withColumns({
         "launcher_region": F.when(right, box(0.58, 1.0)).otherwise(box(0.0, 0.42)),
         "return_region": F.when(right, box(0.0, 0.28)).otherwise(box(0.72, 1.0)), "tracking_region": corridor,

@@ -32,8 +32,9 @@ def week_start(day: Column) -> Column:
 
 
 def weekly(rows: DataFrame, time: str, *measures: Column) -> DataFrame:
-    """week (null for all weeks together) and the measures; the last row is over rows, not over weekly means."""
-    return rows.withColumn("week", week_start(F.col(time))).rollup("week").agg(*measures)
+    """week, the measures, and all_weeks, true of the one row over all rows, not over weekly means; rows without a
+    time have a week of their own, null but not all_weeks."""
+    return rows.withColumn("week", week_start(F.col(time))).rollup("week").agg(*measures, (F.grouping("week") == 1).alias("all_weeks"))
 
 
 def last_days(rows: DataFrame, time: str, now: str, days: int = 7) -> DataFrame:

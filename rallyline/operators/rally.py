@@ -74,6 +74,7 @@ def spin_means(contacts: DataFrame, *by: str) -> DataFrame:
 
 
 def weekly_rates(logs: Logs) -> DataFrame:
-    """week and rates of each week and, with a null week, of all points together."""
+    """week and rates of each week and, where all_weeks, of all points together; sessions without a time have a null week."""
     dated = logs.points.join(logs.sessions.select("session_id", metrics.week_start(F.col("session_ts")).alias("week")), "session_id")
-    return rates(dated, "week").unionByName(rates(dated).withColumn("week", F.lit(None).cast("date")))
+    together = rates(dated).withColumns({"week": F.lit(None).cast("date"), "all_weeks": F.lit(True)})
+    return rates(dated, "week").withColumn("all_weeks", F.lit(False)).unionByName(together)

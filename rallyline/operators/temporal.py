@@ -16,22 +16,26 @@ def _stacked(left: DataFrame, right: DataFrame, by: list[str], left_time: str, r
 def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, k: int = 1) -> DataFrame:
     """left's columns and matches: up to k structs of right at or before left's time, the latest first.
 
-    Rows of right get their k-1 predecessors by lag, so the last non-null row before a left row carries all k.
+    Rows of right get their k-1 predecessors by lag, so the last non-null row before a left row carries all k. A row
+    of right without a time is no match, and a row of left without one has none.
     """
+    right = right.where(F.col(right_time).isNotNull())
     order = Window.partitionBy(*by).orderBy(right_time)
     own = F.struct(*right.columns)
     chain = right.select(*by, F.col(right_time).alias("__rt"), F.array_compact(F.array(own, *(F.lag(own, i).over(order) for i in range(1, k)))).alias("__m"))
     both = _stacked(left, chain, by, left_time, "__rt")
     before = Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
     met = both.withColumn("__hit", F.last(F.col("__r.__m"), ignorenulls=True).over(before)).where("__side = 1")
-    return met.select("__l.*", F.col("__hit").alias("matches"))
+    return met.select("__l.*", F.when(F.col("__t").isNotNull(), F.col("__hit")).alias("matches"))
 
 
 def nearest_within(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, tolerance: Column) -> DataFrame:
     """left's columns and match: the struct of right nearest in time, if within tolerance; the earlier one on a tie.
 
-    Of right rows at one time any may be the match; times are numbers or of one numeric scale.
+    Of right rows at one time any may be the match; times are numbers or of one numeric scale. Rows without a time
+    match nothing.
     """
+    right = right.where(F.col(right_time).isNotNull())
     both = _stacked(left, right, by, left_time, right_time)
     order = Window.partitionBy(*by).orderBy("__t", "__side")
     back = F.last("__r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,34 +41,40 @@ class Live:
     gap: int = 0
 
 
-def link_error(points: list[Point], frame: int, x: float, y: float, limits: TrackLimits) -> float | None:
-    """How far a candidate is from where the track should be one observation on; None if it can't be its next point."""
-    last_frame, last_x, last_y, _ = points[-1]
-    steps = frame - last_frame
-    if steps <= 0:
-        return None
-    moved = (x - last_x, y - last_y)
-    now = (moved[0] / steps, moved[1] / steps)
-    speed = math.hypot(*now)
-    if not limits.slowest <= speed <= limits.fastest:
-        return None
-    if len(points) == 1:
-        return math.hypot(*moved)
-    old_frame, old_x, old_y, _ = points[-2]
-    step = (last_x - old_x, last_y - old_y)
-    span = last_frame - old_frame
-    error = math.hypot(moved[0] - (step[0] if span > 0 else 0.0), moved[1] - (step[1] if span > 0 else 0.0))
-    if error > min(limits.match_distance, limits.prediction_error + limits.error_per_gap * max(0, steps - 1)):
-        return None
-    before = (step[0] / span, step[1] / span) if span > 0 else (0.0, 0.0)
-    if math.hypot(now[0] - before[0], now[1] - before[1]) / steps > limits.acceleration:
-        return None
-    pace = math.hypot(*before)
-    if pace and speed:
-        cosine = (before[0] * now[0] + before[1] * now[1]) / (pace * speed)
-        if math.degrees(math.acos(max(-1.0, min(1.0, cosine)))) > limits.turn:
-            return None
-    return error
+def link_errors(tracks: list[list[Point]], frame: int, places: np.ndarray, limits: TrackLimits) -> np.ndarray:
+    """A row a track and a column a candidate: how far the candidate is from where the track should be one observation
+    on, infinite where it can't be its next point. places has x and y of each candidate.
+
+    All pairs are worked out at once; every limit is a mask over them. A track of one point has no velocity, so its
+    error is the distance and only its speed is limited.
+    """
+    two = np.array([[t[-2] if len(t) > 1 else t[-1], t[-1]] for t in tracks], float).reshape(-1, 2, 4)
+    is_new = np.array([len(t) == 1 for t in tracks], bool)[:, None]
+    elapsed = frame - two[:, 1, :1]
+    before = np.maximum(two[:, 1, 0] - two[:, 0, 0], 0)[:, None]
+    stride = np.where(before > 0, two[:, 1, 1:3] - two[:, 0, 1:3], 0.0)
+    moved = places[None] - two[:, 1:, 1:3]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        now, was = moved / elapsed[:, :, None], stride / np.maximum(before, 1)
+        speed, pace = np.linalg.norm(now, axis=2), np.linalg.norm(was, axis=1)[:, None]
+        error = np.where(is_new, np.linalg.norm(moved, axis=2), np.linalg.norm(moved - stride[:, None], axis=2))
+        allowed = np.minimum(limits.match_distance, limits.prediction_error + limits.error_per_gap * np.maximum(elapsed - 1, 0))
+        change = np.linalg.norm(now - was[:, None], axis=2) / elapsed
+        turn = np.degrees(np.arccos(np.clip((now * was[:, None]).sum(2) / (speed * pace), -1, 1)))
+    possible = (elapsed > 0) & (speed >= limits.slowest) & (speed <= limits.fastest)
+    steady = (error <= allowed) & (change <= limits.acceleration) & ~((pace > 0) & (speed > 0) & (turn > limits.turn))
+    return np.where(possible & (is_new | steady), error, np.inf)
+
+
+def best_pairs(errors: np.ndarray) -> dict[int, int]:
+    """Column by row, the least errors first, each row and column once; of equal errors the first."""
+    chosen: dict[int, int] = {}
+    for flat in np.argsort(errors, axis=None, kind="stable")[: np.isfinite(errors).sum()]:
+        row, column = divmod(int(flat), errors.shape[1])
+        if np.isfinite(errors[row, column]):
+            chosen[row] = column
+            errors[row, :] = errors[:, column] = np.inf
+    return chosen
 
 
 @dataclass
@@ -80,27 +86,23 @@ class Tracker:
 
     def update(self, frame: int, candidates: list[tuple[float, float, float]]) -> list[list[Point]]:
         """Link a frame's candidates (x, y, score), best pairs first, and return the confirmed tracks that end with it."""
-        errors = ((link_error(t.points, frame, x, y, self.limits), i, j) for i, t in enumerate(self.live) for j, (x, y, _) in enumerate(candidates))
-        taken: dict[int, int] = {}
-        for _, i, j in sorted(e for e in errors if e[0] is not None):
-            if i not in taken and j not in taken.values():
-                taken[i] = j
-        for i, track in enumerate(self.live):
-            if i in taken:
-                track.points.append((frame, *candidates[taken[i]]))
-                track.gap = 0
-            else:
-                track.gap += 1
-        ended = [t.points for t in self.live if t.gap > self.limits.max_gap and len(t.points) >= self.limits.confirmed_at]
-        free = [c for j, c in enumerate(candidates) if j not in taken.values()]
-        self.live = [t for t in self.live if t.gap <= self.limits.max_gap] + [Live([(frame, *c)]) for c in free]
-        return ended
+        chosen: dict[int, int] = {}
+        if self.live and candidates:
+            places = np.array(candidates, float)[:, :2]
+            chosen = best_pairs(link_errors([t.points for t in self.live], frame, places, self.limits))
+        moved = [Live([*t.points, (frame, *candidates[chosen[i]])]) if i in chosen else Live(t.points, t.gap + 1) for i, t in enumerate(self.live)]
+        seeds = [Live([(frame, *c)]) for j, c in enumerate(candidates) if j not in chosen.values()]
+        over = [t for t in moved if t.gap > self.limits.max_gap]
+        self.live = [t for t in moved if t.gap <= self.limits.max_gap] + seeds
+        return self._confirmed(over)
+
+    def _confirmed(self, tracks: list[Live]) -> list[list[Point]]:
+        return [t.points for t in tracks if len(t.points) >= self.limits.confirmed_at]
 
     def finish(self) -> list[list[Point]]:
         """The confirmed tracks still live at the end."""
-        ended = [t.points for t in self.live if len(t.points) >= self.limits.confirmed_at]
-        self.live = []
-        return ended
+        over, self.live = self.live, []
+        return self._confirmed(over)
 
 
 def _by_frame(rows: pd.DataFrame) -> Iterator[tuple[int, list[tuple[float, float, float]]]]:
@@ -212,9 +214,13 @@ def return_segments(tracks: DataFrame, scene: Scene) -> DataFrame:
 def return_reason(scene: Scene, launch_frame: Column) -> Column:
     """Why a track with its segment is no return of the launch at launch_frame; null if it is one."""
     first, last = F.element_at("segment", 1), F.element_at("segment", -1)
-    speed = F.abs(last["x"] - first["x"]) / F.greatest(last["frame"] - first["frame"], F.lit(1))
+    elapsed, gained = last["frame"] - first["frame"], (last["x"] - first["x"]) * -scene.toward_player
     later = F.size(F.filter("segment", lambda p: p["frame"] > launch_frame))
-    return F.when(F.col("segment").isNull(), "no_travel_to_opponent").when(launch_frame.isNull(), "no_launch").when(speed < scene.return_speed, "too_slow").when(later < scene.return_points_after, "before_launch")
+    return (
+        F.when(~F.exists("points", lambda p: _inside(p, scene.returns)), "not_near_player").when(F.col("segment").isNull(), "no_travel_to_opponent")
+        .when(launch_frame.isNull(), "no_launch").when((elapsed <= 0) | (F.try_divide(gained, elapsed) < scene.return_speed), "too_slow")
+        .when(later < scene.return_points_after, "before_launch")
+    )
 
 
 def debounce(readings: DataFrame, samples: int = 2, speed_slack: float = 0.11, spin_slack: float = 1) -> DataFrame:
@@ -224,17 +230,27 @@ def debounce(readings: DataFrame, samples: int = 2, speed_slack: float = 0.11, s
     task a video.
     """
 
-    def same(a: tuple, b: tuple | None) -> bool:
-        return b is not None and abs(a[1] - b[1]) <= speed_slack and abs(a[2] - b[2]) <= spin_slack and a[3] == b[3]
+    slack = np.array([speed_slack, spin_slack])
+
+    def alike(rows: pd.DataFrame, row: pd.Series) -> np.ndarray:
+        close = np.abs(rows[["speed", "spin"]].to_numpy(float) - row[["speed", "spin"]].to_numpy(float)) <= slack
+        return close.all(1) & (rows["label"] == row["label"]).to_numpy()
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        held, times, shown, out = None, 0, None, []
-        for now in rows.dropna(subset=["speed", "spin", "label"]).sort_values("frame")[["frame", "speed", "spin", "label"]].itertuples(index=False, name=None):
-            held, times = (held, times + 1) if same(now, held) else (now, 1)
-            if times >= samples and not same(now, shown):
-                shown = now
-                out.append((key[0], *now))
-        return pd.DataFrame(out, columns=["video_id", "frame", "speed", "spin", "label"])
+        """Runs of readings like their first one; from its `samples`-th on each may be published."""
+        rest, published = rows.dropna(subset=["speed", "spin", "label"]).sort_values("frame"), []
+        while len(rest):
+            other = np.flatnonzero(~alike(rest, rest.iloc[0]))
+            length = int(other[0]) if len(other) else len(rest)
+            steady, rest = rest.iloc[samples - 1 : length], rest.iloc[length:]
+            while len(steady):
+                new = ~alike(steady, published[-1]) if published else np.ones(len(steady), bool)
+                if not new.any():
+                    break
+                published.append(steady.iloc[int(new.argmax())])
+                steady = steady.iloc[int(new.argmax()) + 1 :]
+        found = pd.DataFrame(published, columns=rows.columns)
+        return found.assign(video_id=key[0])[["video_id", "frame", "speed", "spin", "label"]]
 
     return readings.groupBy("video_id").applyInPandas(run, "video_id string, frame int, speed double, spin int, label string")
 

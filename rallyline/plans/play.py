@@ -126,7 +126,7 @@ def q08_weekly_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT coalesce(CAST(week AS VARCHAR), 'All') AS week, round(avg(value), 6) AS mean, count(*) AS n FROM weeks GROUP BY ROLLUP (week)""")
 def q09_weekly_and_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     weeks = metrics.weekly(table(spark, sf_dir, "events"), "ts", F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
-    return weeks.withColumn("week", F.coalesce(F.col("week").cast("string"), F.lit("All")))
+    return weeks.select(F.when(F.col("all_weeks"), "All").otherwise(F.col("week").cast("string")).alias("week"), "mean", "n")
 
 
 @query("q10_heatmap", """

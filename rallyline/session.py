@@ -32,11 +32,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a fresh local one only where none is set (tests)."""
+    """The cluster's checkpoint folder. Where none is set, a fresh local one if all runs in one process; on a cluster
+    that would be a folder of one machine only, so it is an error."""
     context = spark.sparkContext
     named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not _is_local(spark):
+            raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="rallyline-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
@@ -55,13 +62,13 @@ ROWS_PER_BATCH = 2000  # of whole texts: a Python worker holds a batch or two at
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ready for Python workers: send this package to the executors, once per application, unless PYTHONPATH
-    already names it, and keep their Arrow batches small where the session still has Spark's default."""
+    """Make ready for Python workers: send this package to the executors, once per application, unless they are this
+    process and PYTHONPATH names it, and keep their Arrow batches small where the session still has Spark's default."""
     if spark.conf.get(ARROW_ROWS) == "10000":
         spark.conf.set(ARROW_ROWS, str(ROWS_PER_BATCH))
     root = Path(__file__).resolve().parent.parent
     app = spark.sparkContext.applicationId
-    if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+    if app in _shipped or _is_local(spark) and str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     packed = io.BytesIO()
     with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:

@@ -191,3 +191,20 @@ def test_geometry(spark):
     assert (found["x"], found["y"], found["z"]) == (3.5, 0.76, 6.0)
     assert [column(spark, scalars.octant(F.lit(float(a)))) for a in (0, 44, 91, 359, 225)] == ["right", "up-right", "up", "right", "down-left"]
     assert column(spark, scalars.first_reason((F.lit(False), "a"), (F.lit(True), "b"), (F.lit(True), "c"))) == "b"
+
+
+def test_rows_without_a_time_match_nothing(spark):
+    left = spark.createDataFrame([("a", 1, 10.0), ("a", 2, None)], "k string, id int, t double")
+    right = spark.createDataFrame([("a", None, 7), ("a", 9.0, 8)], "k string, rt double, v int")
+    found = {r["id"]: r["matches"] for r in temporal.asof_backward(left, right, ["k"], "t", "rt", 2).collect()}
+    assert [m["v"] for m in found[1]] == [8] and found[2] is None
+    early = temporal.asof_backward(left.where("id = 1").withColumn("t", F.lit(5.0)), right, ["k"], "t", "rt").first()
+    assert early["matches"] is None
+    near = {r["id"]: r["match"] for r in temporal.nearest_within(left, right, ["k"], "t", "rt", F.lit(100.0)).collect()}
+    assert near[1]["v"] == 8 and near[2] is None
+
+
+def test_weeks_of_rows_without_a_time_are_not_the_total(spark):
+    rows = spark.createDataFrame([("2026-01-05 10:00:00", 1.0), ("2026-01-06 10:00:00", 3.0), (None, 5.0)], "t string, v double").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    found = {(str(r["week"]), r["all_weeks"]): r["mean"] for r in metrics.weekly(rows, "t", F.avg("v").alias("mean")).collect()}
+    assert found == {("2026-01-04", False): 2.0, ("None", False): 5.0, ("None", True): 3.0}

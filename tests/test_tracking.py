@@ -1,5 +1,6 @@
 """Tracks, launches, returns and bounces on synthetic paths."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,9 +49,19 @@ def test_the_nearest_prediction_wins_and_others_seed_tracks():
 @pytest.mark.parametrize("candidate", [(20.2, 50.0), (400.0, 50.0), (-80.0, 50.0)])
 def test_impossible_steps_are_refused(candidate):
     points = [(0, 0.0, 50.0, 0.0), (1, 10.0, 50.0, 0.0), (2, 20.0, 50.0, 0.0)]
-    assert tracking.link_error(points, 3, *candidate, TrackLimits()) is None
-    assert tracking.link_error(points, 2, 30.0, 50.0, TrackLimits()) is None
-    assert tracking.link_error(points, 3, 30.0, 50.0, TrackLimits()) == 0
+    errors = lambda frame, *places: tracking.link_errors([points], frame, np.array(places), TrackLimits()).tolist()
+    assert errors(3, candidate, (30.0, 50.0)) == [[np.inf, 0.0]]
+    assert errors(2, (30.0, 50.0)) == [[np.inf]]
+
+
+def test_errors_of_all_pairs_at_once():
+    """A new track's error is the distance; another's that from where its last stride leads; a turn back is refused."""
+    tracks = [[(4, 0.0, 0.0, 0.0)], [(2, 0.0, 0.0, 0.0), (4, 20.0, 0.0, 0.0)], [(3, 100.0, 0.0, 0.0), (4, 110.0, 0.0, 0.0)]]
+    errors = tracking.link_errors(tracks, 5, np.array([(30.0, 40.0), (90.0, 0.0)]), TrackLimits())
+    assert errors[0].tolist() == [50.0, 90.0]
+    assert errors[1].tolist() == [pytest.approx(np.hypot(10, 40)), pytest.approx(50.0)]
+    assert errors[2].tolist() == [pytest.approx(np.hypot(90, 40)), np.inf]
+    assert tracking.best_pairs(np.array([[3.0, 1.0], [1.0, np.inf], [2.0, 1.0]])) == {0: 1, 1: 0}
 
 
 def test_settings_of_a_camera_override_known_names_only():
@@ -89,7 +100,11 @@ def test_return_reasons(spark):
     lead = [(20 + f, 290.0 - 19 * f, 100.0, 0.0) for f in range(10)] + good
     found = tracking.return_segments(frame_of(spark, good, late, slow, path(9, lambda f: 900 + f), lead), SCENE)
     rows = found.orderBy("track_no").select(tracking.return_reason(SCENE, F.lit(18)).alias("why"), F.size("segment").alias("n")).collect()
-    assert [r["why"] for r in rows[:4]] == [None, "before_launch", "too_slow", "no_travel_to_opponent"]
+    assert [r["why"] for r in rows[:4]] == [None, "before_launch", "too_slow", "not_near_player"]
+    still = [(30, 100.0, 100.0, 0.0)] * 3
+    back = [(30 + f, 100.0 + 20 * f, 100.0, 0.0) for f in range(9)][:1] + [(30, 260.0, 100.0, 0.0)]  # no time goes by
+    found = tracking.return_segments(frame_of(spark, still, back), SCENE).orderBy("track_no")
+    assert [r["why"] for r in found.select(tracking.return_reason(SCENE, F.lit(18)).alias("why")).collect()] == ["no_travel_to_opponent", "too_slow"]
     assert rows[4]["why"] is None and rows[4]["n"] < len(lead)
 
 
@@ -124,11 +139,12 @@ def test_outcome_without_a_bounce(spark):
 
 
 def test_camera_regions(spark):
-    rows = [("a", 1000, 500, 200.0, 300.0, 100.0, 900.0), ("b", 1000, 500, 100.0, 400.0, 900.0, 100.0)]
+    rows = [("a", 1000, 500, 200.0, 300.0, 100.0, 900.0), ("b", 1000, 500, 100.0, 400.0, 900.0, 100.0), ("flat", 1000, 500, 100.0, 100.0, 100.0, 900.0)]
     found = {r["camera_id"]: r for r in bounces.camera_regions(spark.createDataFrame(rows, "camera_id string, width int, height int, table_top double, table_bottom double, player_x double, opponent_x double")).collect()}
-    assert found["a"]["launcher_region"] == [580.0, 0.0, 1000.0, 500.0] and found["a"]["return_region"] == [0.0, 0.0, 280.0, 500.0]
-    assert found["a"]["tracking_region"] == [0.0, 50.0, 1000.0, 350.0]
-    assert found["b"]["launcher_region"] == [0.0, 0.0, 420.0, 500.0] and found["b"]["tracking_region"] == [0.0, 0.0, 1000.0, 500.0]
+    assert found["a"]["launcher_region"] == [580.0, 0.0, 999.0, 499.0] and found["a"]["return_region"] == [0.0, 0.0, 280.0, 499.0]
+    assert found["a"]["tracking_region"] == [0.0, 50.0, 999.0, 350.0]
+    assert found["b"]["launcher_region"] == [0.0, 0.0, 420.0, 499.0] and found["b"]["tracking_region"] == [0.0, 0.0, 999.0, 499.0]
+    assert found["b"]["return_region"] == [720.0, 0.0, 999.0, 499.0] and found["flat"]["tracking_region"] == [0.0, 98.5, 999.0, 100.5]
 
 
 def test_debounce(spark):
