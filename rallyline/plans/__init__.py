@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers all of them."""
 
-from rallyline.plans import play, stream, text, time  # noqa: F401
+from rallyline.plans import logs, play, stream, text, time  # noqa: F401

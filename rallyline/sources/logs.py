@@ -19,7 +19,6 @@ OTHER_CONTACT = "YourCollision:"
 NUMBER = r"(-?\d+(?:.\d+(?:E-\d+)?)?)"
 VECTOR = rf"\({NUMBER},{NUMBER},{NUMBER}\)"
 HIT_LINE = r"(postCollisionState:.*vel:\(-?\d+.\d+,-?\d+.\d+,-?\d+.\d+\).*rRate:\(-?\d+.\d+,-?\d+.\d+,-?\d+.\d+\))"
-DEFAULT_USER = "wagonman"
 SNAPSHOT = "PlayerIds array<string>, PlayerNames array<string>, CurrentServer string, RoundScores array<array<int>>"
 GAME, ROUND, POINT = ["session_id", "match_no"], ["session_id", "match_no", "round_no"], ["session_id", "match_no", "round_no", "point_no"]
 HITS = ("MyHit", "TheirHit")
@@ -56,11 +55,13 @@ def _flip(value: Column, first: str = "is_first") -> Column:
     return F.when(F.col(first), value).otherwise(-value)
 
 
-def parse(raw: DataFrame) -> Logs:
-    """All tables of raw(file_name, content). A file without games gives a session only; broken parts give no rows."""
+def parse(raw: DataFrame, fallback_user: str | None = None) -> Logs:
+    """All tables of raw(file_name, content). A file without games gives a session only; broken parts give no rows.
+    fallback_user is the user of logs that name none.
+    """
     named = raw.select(
         F.col("file_name").alias("session_id"), "file_name", "content",
-        F.coalesce(_found("content", r"Properly authenticated (\w+)"), F.lit(DEFAULT_USER)).alias("username"),
+        F.coalesce(_found("content", r"Properly authenticated (\w+)"), F.lit(fallback_user).cast("string")).alias("username"),
         scalars.session_time(F.col("file_name")).alias("session_ts"),
     )
     sessions = named.drop("content")

@@ -133,6 +133,6 @@ def test_opponent_filter(parsed):
 def test_files_and_broken_content(spark, tmp_path):
     (tmp_path / "ALL-1.2.2026.3.4.5.AM.log").write_text("no games here")
     (tmp_path / "odd.log").write_text("Sending MP match prefab activity\nnot json\n" + MARK)
-    parsed = logs.parse(logs.read_logs(spark, str(tmp_path)))
+    parsed = logs.parse(logs.read_logs(spark, str(tmp_path)), "someone")
     assert {r["file_name"]: r["session_ts"] is None for r in parsed.sessions.collect()} == {"ALL-1.2.2026.3.4.5.AM.log": False, "odd.log": True}
-    assert parsed.points.count() == 0 and parsed.sessions.first()["username"] == "wagonman"
+    assert parsed.points.count() == 0 and parsed.sessions.first()["username"] == "someone"
