@@ -1,22 +1,23 @@
 """Fitting a steady launch cadence to detected hits, and filling its empty slots.
 
-Times are in any unit; a period's grid is given as a table of candidates, so that both sides of a comparison use the
+Times are in any unit; a period's grid is given as a list of candidates, so that both sides of a comparison use the
 same numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def period_grid(spark: SparkSession, first: float, last: float, step: float) -> DataFrame:
-    """period: first, first + step, ... up to last, by repeated addition as a running sum gives them."""
-    values, now = [], first
-    while now <= last + 1e-9:
-        values.append((len(values), now))
-        now += step
-    return spark.createDataFrame(values, "grid int, period double")
+def period_grid(first: float, last: float, step: float) -> list[float]:
+    """first, first + step, ... up to last, by repeated addition as a running sum gives them."""
+    values = [first]
+    while values[-1] + step <= last + 1e-9:
+        values.append(values[-1] + step)
+    return values
 
 
 def circular_residual(offset: Column, period: Column) -> Column:
@@ -24,20 +25,24 @@ def circular_residual(offset: Column, period: Column) -> Column:
     return F.pmod(offset + period / 2, period) - period / 2
 
 
-def fit_period(hits: DataFrame, by: list[str], time: str, grid: DataFrame, keep: float = 0.9, least: int = 3) -> DataFrame:
+def fit_period(hits: DataFrame, by: list[str], time: str, grid: Sequence[float], keep: float = 0.9, least: int = 3) -> DataFrame:
     """by, period: the candidate with the least mean of the smallest 90 % of residuals to the first hit's phase.
 
-    Keys with fewer than `least` hits have none. A key's hits meet every candidate of the grid, whose size is fixed;
-    residuals and means are rounded to 9 places before they are compared, and the smaller period wins a tie.
+    Keys with fewer than `least` hits have none. A key's times are gathered once, as one array, and every candidate is
+    tried on it in place, so hits are shuffled once, not once a candidate. Residuals and means are rounded to 9 places
+    before they are compared, and the smaller period wins a tie.
     """
-    whole = Window.partitionBy(*by)
-    known = hits.select(*by, F.col(time).alias("__t"), F.min(time).over(whole).alias("__first"), F.count("*").over(whole).alias("__n")).where(F.col("__n") >= least)
-    met = known.crossJoin(F.broadcast(grid))  # the grid has a fixed number of rows
-    met = met.withColumn("__r", F.round(F.abs(circular_residual(F.col("__t") - F.col("__first"), F.col("period"))), 9))
-    place = F.row_number().over(Window.partitionBy(*by, "period").orderBy("__r"))
-    kept = met.withColumn("__place", place).where(F.col("__place") <= F.greatest(F.lit(least), F.bround(F.col("__n") * keep).cast("int")))
-    means = kept.groupBy(*by, "period").agg(F.round(F.avg("__r"), 9).alias("__mean"))
-    return means.groupBy(*by).agg(F.min_by("period", F.struct("__mean", "period")).alias("period"))
+    known = hits.groupBy(*by).agg(F.array_sort(F.collect_list(F.col(time).cast("double"))).alias("__ts")).where(F.size("__ts") >= least)
+    known = known.withColumn("__kept", F.greatest(F.lit(least), F.bround(F.size("__ts") * keep).cast("int")))
+    offsets = F.transform("__ts", lambda t: t - F.element_at("__ts", 1))
+
+    def tried(period: Column) -> Column:
+        residuals = F.array_sort(F.transform("__offsets", lambda o: F.round(F.abs(circular_residual(o, period)), 9)))
+        total = F.aggregate(F.slice(residuals, 1, F.col("__kept")), F.lit(0.0), lambda a, b: a + b)
+        return F.struct(F.round(total / F.col("__kept"), 9).alias("mean"), period.alias("period"))
+
+    candidates = F.array(*map(F.lit, map(float, grid)))
+    return known.withColumn("__offsets", offsets).select(*by, F.array_min(F.transform(candidates, tried))["period"].alias("period"))
 
 
 def fit_phase(hits: DataFrame, fitted: DataFrame, by: list[str], time: str) -> DataFrame:

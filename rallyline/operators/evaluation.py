@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,30 +16,51 @@ MATCH, WRONG, MISSING, EXTRA = "match", "wrong_outcome", "missing", "extra"
 def align(expected: list[str], actual: list[str]) -> list[tuple[str, int | None, int | None]]:
     """Least-cost alignment of two sequences at unit costs: (kind, place in expected, place in actual), in order.
 
-    Of equal costs a pair is preferred to a missing item and that to an extra one, as seen from the end.
+    Of equal costs a pair is preferred to a missing item and that to an extra one, as seen from the end. Only a band
+    around the diagonal is worked out, a row of it at a time; it is widened until the cost shows that no best alignment
+    can leave it, so time and memory follow the length times the number of differences.
     """
-    width = len(actual) + 1
-    costs = [list(range(width))]
-    for i, wanted in enumerate(expected, 1):
-        above, row = costs[-1], [i]
-        for j, got in enumerate(actual, 1):
-            row.append(min(above[j - 1] + (wanted != got), above[j] + 1, row[j - 1] + 1))
-        costs.append(row)
-    out, i, j = [], len(expected), len(actual)
+    codes = {o: k for k, o in enumerate(dict.fromkeys([*expected, *actual]))}
+    wanted, got = (np.array([codes[o] for o in side], np.int32) for side in (expected, actual))
+    band = abs(len(wanted) - len(got)) + 8
+    while True:
+        cost, moves = _banded(wanted, got, band)
+        if cost <= band:
+            break
+        band *= 2
+    out, i, j = [], len(wanted), len(got)
     while i or j:
-        pair = costs[i - 1][j - 1] + (expected[i - 1] != actual[j - 1]) if i and j else None
-        if pair == costs[i][j]:
-            i, j = i - 1, j - 1
-            out.append((MATCH if expected[i] == actual[j] else WRONG, i, j))
-        elif i and costs[i - 1][j] + 1 == costs[i][j]:
-            i -= 1
-            out.append((MISSING, i, None))
+        move = moves[i][j - i + band]
+        i, j = i - (move != EXTRA_MOVE), j - (move != MISSING_MOVE)
+        if move == PAIR_MOVE:
+            out.append((MATCH if wanted[i] == got[j] else WRONG, i, j))
         else:
-            j -= 1
-            out.append((EXTRA, None, j))
+            out.append((MISSING, i, None) if move == MISSING_MOVE else (EXTRA, None, j))
     return out[::-1]
 
 
+PAIR_MOVE, MISSING_MOVE, EXTRA_MOVE = 0, 1, 2
+
+
+def _banded(wanted: np.ndarray, got: np.ndarray, band: int) -> tuple[int, list[np.ndarray]]:
+    """The cost within the band, and for each row (a prefix of wanted) the last move to each place of the band, which
+    at d holds the prefix of got that is d - band longer."""
+    far = len(wanted) + len(got) + 1
+    places = np.arange(2 * band + 1)
+    row, moves = np.where((places >= band) & (places - band <= len(got)), places - band, far), [np.full(2 * band + 1, EXTRA_MOVE, np.uint8)]
+    for i in range(1, len(wanted) + 1):
+        j = places + i - band
+        inside = (j >= 1) & (j <= len(got))
+        differs = np.ones(2 * band + 1, np.int64)
+        differs[inside] = wanted[i - 1] != got[j[inside] - 1]
+        pair = np.where(inside, row + differs, far)
+        missing = np.where((j >= 0) & (j <= len(got)), np.append(row[1:], far) + 1, far)
+        row = np.minimum(np.minimum.accumulate(np.minimum(pair, missing) - places) + places, far)  # extra items after it
+        row = np.where((j >= 0) & (j <= len(got)), row, far)
+        moves.append(np.where(row == pair, PAIR_MOVE, np.where(row == missing, MISSING_MOVE, EXTRA_MOVE)).astype(np.uint8))
+    return int(row[len(got) - len(wanted) + band]), moves
+
+
 def align_by(expected: DataFrame, actual: DataFrame, by: str, order: str, outcome: str) -> DataFrame:
     """by and ALIGNMENT for each key: one task a key, whose sequences are a recording's attempts."""
     kind = expected.schema[by].dataType.simpleString()

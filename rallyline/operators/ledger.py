@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +34,27 @@ def merge_upserts(upserts: DataFrame, by: list[str], arrival: list[str], final:
 def arrival_streak(attempts: DataFrame, by: list[str], arrival: str, time: str, hit: Column) -> DataFrame:
     """by, arrival, streak: the streak at the end of what has arrived so far, put in order of time.
 
-    Hits that arrived no later than a row count if no miss that had arrived by then is later in time.
+    Hits that arrived no later than a row count if no miss that had arrived by then is later in time. A key is folded
+    once in order of arrival: the hits that count are a heap by time, from which a later miss takes all before it for
+    good, so a key of n rows takes n log n steps.
     """
-    rows = attempts.select(*by, F.col(arrival).alias("__arrival"), F.col(time).alias("__time"), hit.alias("__hit"))
-    so_far = Window.partitionBy(*by).orderBy("__arrival").rowsBetween(Window.unboundedPreceding, 0)
-    at = rows.withColumn("__miss", F.max(F.when(~F.col("__hit"), F.col("__time"))).over(so_far)).select(*by, F.col("__arrival").alias(arrival), "__miss")
-    hits = rows.where("__hit").drop("__hit")
-    counted = (F.col("__arrival") <= F.col(arrival)) & (F.col("__miss").isNull() | (F.col("__time") > F.col("__miss")))
-    return at.join(hits, by, "left").groupBy(*by, arrival).agg(F.count_if(counted).alias("streak"))
+    rows = attempts.select(*by, F.col(arrival), F.col(time).alias("__time"), hit.alias("__hit"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        counting, missed, streaks = [], None, []
+        group = group.sort_values([arrival, "__hit"], ascending=[True, False])
+        for at, is_hit in zip(group["__time"], group["__hit"], strict=True):
+            if not is_hit:
+                missed = at if missed is None else max(missed, at)
+                while counting and counting[0] <= missed:
+                    heapq.heappop(counting)
+            elif missed is None or at > missed:
+                heapq.heappush(counting, at)
+            streaks.append(len(counting))
+        return group.assign(streak=streaks)[[*by, arrival, "streak"]]
+
+    return rows.groupBy(*by).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in (*by, arrival)) + ", streak long")
 
 
 def repeated_keys(rows: DataFrame, *keys: str, name: str = "n") -> DataFrame:

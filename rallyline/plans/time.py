@@ -181,8 +181,7 @@ _GRID = [4.0 + 0.1 * i for i in range(60)]
     SELECT user_id, round(arg_min(period, mean * 1e6 + period), 1) AS period FROM means GROUP BY user_id""")
 def q25_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", (F.floor(micros("ts") / 1_000_000).cast("double") / 3600).alias("t"))
-    grid = spark.createDataFrame([(p,) for p in _GRID], "period double")
-    return cadence.fit_period(hits, USER, "t", grid).withColumn("period", F.round("period", 1))
+    return cadence.fit_period(hits, USER, "t", _GRID).withColumn("period", F.round("period", 1))
 
 
 @query("q26_nearest_slot", f"""

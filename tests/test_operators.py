@@ -89,7 +89,7 @@ def test_a_slot_keeps_its_nearest_then_strongest_hit(spark):
 
 def test_cadence_fills_empty_slots(spark):
     hits = spark.createDataFrame([("v", float(t), 0.8) for t in (70, 190, 250)], "k string, t double, confidence double")
-    grid = cadence.period_grid(spark, 60.0, 132.0, 0.1).drop("grid")
+    grid = cadence.period_grid(60.0, 132.0, 0.1)
     fitted = cadence.fit_phase(hits, cadence.fit_period(hits, ["k"], "t", grid), ["k"], "t")
     slots = cadence.slots(fitted, hits, ["k"], "t", F.lit(300.0))
     met = temporal.nearest_slot(hits.withColumn("h", F.lit(0)), slots, ["k"], "t", "anchor", F.lit(18.0), "confidence", "h")
