@@ -349,7 +349,8 @@ def keep_one(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     """The rows of docs that stay when one row of each group of join() does: the one with the smallest doc_id.
 
     Rows in no group go straight to the output; of a group's rows only those of its first class are shuffled,
-    at most one a batch and class.
+    at most one a batch and class. Texts without words, null ones too, are one group, of which one row stays; a null
+    id counts last; of rows with equal ids any one stays; no rows give none; all columns stay as they are.
     """
     groups = classes_of(docs, banding)
     filled = bloom.build(groups, "head", groups.count(), least=1)

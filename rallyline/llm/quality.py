@@ -76,7 +76,8 @@ def classify(docs: DataFrame, labels: DataFrame, settings: linear.Settings = SET
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, settings: linear.Settings = SETTINGS, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, with all columns, that classify() predicts to be good."""
+    """The rows of docs, with all columns, that classify() predicts to be good; rules for null texts and ids, repeated
+    rows and empty tables as there."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, settings))
     text_at, names = docs.columns.index("text"), [f"c{i}" for i in range(len(docs.columns))]
 

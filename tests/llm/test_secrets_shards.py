@@ -10,6 +10,8 @@ import re
 import urllib.parse
 import zlib
 
+import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -253,6 +255,42 @@ def test_small_groups_stay_together(table_of, words):
     assert all(len(s) == 1 for s in by_text.values())
 
 
+def test_a_group_of_many_short_texts_stays_whole(table_of, words):
+    """A third of all rows but few bytes: one shard has room for them, and all stay even in bytes."""
+    rows = [(i, "x") for i in range(1000)] + [(2000 + i, " ".join(words[i : i + 60])) for i in range(2000)]
+    found = shards.assign(table_of(rows)).collect()
+    check_shards(found, rows, even=0.08)
+    assert len({r["shard"] for r in found if r["doc_id"] < 1000}) == 1
+
+
+def plain_place(loads, plan):
+    """First the heaviest, each where the dot product with what is left is highest among shards with room for its bytes."""
+    totals = [max(sum(load[k] for load in loads), 1) for k in range(3)]
+    parts = [[load[k] / totals[k] * plan.shards for k in range(3)] for load in loads]
+    left, out = [[1.0] * 3 for _ in range(plan.shards)], [0] * len(loads)
+    for i in sorted(range(len(loads)), key=lambda i: (-max(parts[i]), i)):
+        room = [s for s in range(plan.shards) if left[s][0] >= parts[i][0]] or range(plan.shards)
+        out[i] = max(room, key=lambda s: (round(sum(max(left[s][k], -1) * parts[i][k] * plan.weights[k] for k in range(3)), 9), -s))
+        left[out[i]] = [a - b for a, b in zip(left[out[i]], parts[i], strict=True)]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_placing_against_plain_python(seed):
+    rng = random.Random(seed)
+    plan = shards.Plan(shards=4)
+    loads = [(rng.randint(1, 900), rng.randint(1, 200), rng.randint(1, 50)) for _ in range(60)]
+    assert shards.place(np.array(loads, float), plan).tolist() == plain_place(loads, plan)
+
+
+def test_groups_are_split_only_as_far_as_evenness_needs():
+    cells = lambda *groups: pd.DataFrame([(f"{g}/{k}", b / n, 1.0, 1.0) for g, (b, n) in enumerate(groups) for k in range(n)] + [(f"d{i}", 1.0, 1.0, 1.0) for i in range(400)], columns=["cell", "b", "t", "n"])
+    plan = shards.Plan(shards=4)
+    spread = lambda frame: [len(set(shards.place_groups(frame, plan)[frame["cell"].str.startswith(f"{g}/")])) for g in range(2)]
+    assert spread(cells((150, 10), (100, 10))) == [1, 1]  # each less than a shard of 162.5
+    assert spread(cells((600, 60), (50, 10)))[1] == 1 < spread(cells((600, 60), (50, 10)))[0]
+
+
 def test_odd_rows_shard(table_of, odd):
     check_shards(shards.assign(table_of(odd)).collect(), odd, even=1e9)
     assert shards.assign(table_of([])).count() == 0
@@ -260,7 +298,23 @@ def test_odd_rows_shard(table_of, odd):
 
 def test_shard_query(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    check_shards(queries.op10_sharding(spark, sf_dir).collect(), rows, even=0.5)
+    check_shards(queries.op10_sharding(spark, sf_dir).collect(), rows, even=0.25)
+
+
+def test_pipeline_of_odd_rows_and_of_none(spark, table_of, odd, tmp_path):
+    """Null and empty texts, null and repeated ids, clashing column names and no rows at all."""
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, rows in (("odd", odd), ("none", [])):
+        place = str(tmp_path / name)
+        table_of(rows).write.parquet(f"{place}/documents.parquet")
+        labels.write.parquet(f"{place}/labels.parquet")
+        found = corpus_pipeline.run(spark, place).collect()
+        kept = {SPACES.sub("", t or "") for _, t in rows}  # these rows have exact copies only
+        assert len({(r["doc_id"], r["doc_tokens"]) for r in found if r["start"] == 0}) == len(kept)
+        assert sum(r["length"] for r in found) == sum(r["doc_tokens"] for r in found if r["start"] == 0)
+
+
+SPACES = re.compile(r"[\x20\x09-\x0D]")
 
 
 def test_pipeline_against_plain_python(spark, sf_dir):
