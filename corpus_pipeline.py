@@ -1,4 +1,8 @@
-"""A training corpus from raw documents: five stages, each over all that the one before it kept."""
+"""A training corpus from raw documents: five stages, each over all that the one before it kept.
+
+Every stage takes null and empty texts as texts without words, null and repeated doc_ids as rows of their own, further
+columns under any name as they are, and an empty table to an empty one.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rallyline.llm import exact, near, packing, quality, secrets
-from rallyline.session import shared_dir, table
+from rallyline.session import remove, shared_dir, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,13 +54,17 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is written to the shared folder and read again."""
+    """All stages over documents; each result but the last is written to the shared folder and read again. A folder is
+    removed once the next one is written; the last one stays, as the result is computed from it."""
     docs = table(spark, sf_dir, "documents")
-    place = f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    place, old = f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}", None
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             path = f"{place}/{number}-{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if old:
+                remove(spark, old)
+            old = path
     return docs
