@@ -170,3 +170,12 @@ def point_won(scores: Column, before: Column, first: Column) -> Column:
     opening = F.when(score(now, 1) == 1, first).otherwise(F.coalesce(score(now, 2) == 1, F.lit(False)) & ~first)
     leader = F.when(score(then, 1) > score(then, 2), first).otherwise(~first)
     return F.when(before.isNull(), opening).when(now.isNull(), leader).otherwise(F.when(score(now, 1) > score(then, 1), first).otherwise(~first))
+
+
+def two_decimals(value: Column) -> Column:
+    return F.format_string("%.2f", value.cast("double"))
+
+
+def percent(share: Column) -> Column:
+    """A share as a percentage of two decimals; null stays null."""
+    return F.when(share.isNotNull(), F.concat(two_decimals(share * 100), F.lit("%")))

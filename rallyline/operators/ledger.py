@@ -93,8 +93,9 @@ def late_publications(finalized: DataFrame, limits: DataFrame, outcome: str, del
 def replay_mismatches(expected: DataFrame, actual: DataFrame, limits: DataFrame) -> DataFrame:
     """check, video, detail: all that is wrong with a replayed ledger, as one table.
 
-    expected(video, sequence, outcome); actual(video, sequence, attempt_id, anchor_frame_number, outcome, delay);
-    limits(outcome, limit).
+    expected(video, sequence, outcome); actual(video, sequence, attempt_id, anchor_frame_number, outcome, delay), and
+    streak, if the counter that was replayed showed one; limits(outcome, limit). A streak counts hits by anchor frame,
+    from the last miss on.
     """
     sides = compare_by_position(expected, actual, ["video"], ["sequence"], "outcome").where("not same")
     outcomes = sides.select(F.lit("outcome").alias("check"), "video", F.format_string("#%d: expected %s, got %s", "place", F.coalesce("expected", F.lit("-")), F.coalesce("actual", F.lit("-"))).alias("detail"))
@@ -103,6 +104,10 @@ def replay_mismatches(expected: DataFrame, actual: DataFrame, limits: DataFrame)
     parts = [outcomes, lengths]
     for check, key in (("same_frame", "anchor_frame_number"), ("same_id", "attempt_id")):
         parts.append(repeated_keys(actual, "video", key).select(F.lit(check).alias("check"), "video", F.format_string("%s occurs %d times", F.col(key).cast("string"), "n").alias("detail")))
+    if "streak" in actual.columns:
+        due = hit_streak(actual.where("outcome in ('hit', 'miss')").withColumnRenamed("streak", "__shown"), ["video"], ["anchor_frame_number", "sequence"], F.col("outcome") == "hit")
+        wrong = due.where("not (streak <=> __shown)")
+        parts.append(wrong.select(F.lit("streak").alias("check"), "video", F.format_string("%s shows %s, not %d", "attempt_id", F.coalesce(F.col("__shown").cast("string"), F.lit("-")), "streak").alias("detail")))
     late = late_publications(actual, limits, "outcome", "delay", "limit")
     parts.append(late.select(F.lit("late").alias("check"), "video", F.format_string("%s after %.3f s", "attempt_id", F.col("delay").cast("double")).alias("detail")))
     out = parts[0]

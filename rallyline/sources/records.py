@@ -130,3 +130,36 @@ def save_labels(labels: DataFrame, path: str) -> None:
 def as_dict(report: DataFrame) -> dict:
     """A one-row report as plain values."""
     return json.loads(report.select(F.to_json(F.struct(*report.columns))).first()[0])
+
+
+def write_bounce_diagnostics(diagnostics: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The confirmed bounces of diagnostics(draw_frame, kind, reason, points) as JSON lines; other kinds are left out."""
+    confirmed = diagnostics.where("kind = 'confirmed_bounce'").select("draw_frame", "kind", "reason", "points")
+    confirmed.write.mode(mode).option("ignoreNullFields", "false").json(path)
+
+
+def write_review_manifest(reviews: DataFrame, scorecard: dict, categories: list[str], path: str) -> None:
+    """One JSON document of a recording's reviews in order of their number, each with room for a category and notes,
+    under the scorecard's figures. A recording's errors are few and written by one task."""
+    listed = reviews.withColumn("category", F.lit(None).cast("string")).withColumn("review_notes", F.lit(""))
+    body = listed.agg(F.sort_array(F.collect_list(F.struct("review_number", *(c for c in listed.columns if c != "review_number")))).alias("reviews"))
+    head = [F.array(*map(F.lit, categories)).alias("categories"), F.struct(*(F.lit(v).alias(k) for k, v in scorecard.items())).alias("scorecard")]
+    document = F.to_json(F.struct(*head, "reviews"), {"ignoreNullFields": "false"})
+    body.select(document.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_calibration(calibrations: DataFrame, path: str) -> None:
+    """Calibrations as JSON documents that read_calibration() takes, a row a document of one line; one that lacks a
+    required key or has not four control points fails."""
+    whole = F.size("control_points") == 4
+    for name in REQUIRED:
+        whole = whole & F.col(name).isNotNull()
+    bad = F.raise_error(F.lit("calibration lacks a required key or has not four control points")).cast("string")
+    calibrations.select(F.when(whole, F.to_json(F.struct(*calibrations.columns))).otherwise(bad).alias("value")).write.mode("overwrite").text(path)
+
+
+def append_events(stream: DataFrame, path: str, checkpoint: str):
+    """A stream's records appended to path as JSON lines, each batch once however often it is tried: the sink keeps its
+    own log of batches, and the checkpoint where the stream was. Returns the started query; a fresh checkpoint and path
+    begin anew."""
+    return stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()

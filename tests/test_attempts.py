@@ -1,7 +1,8 @@
 """Tracks to evidence to ledger, from synthetic paths alone."""
 
 from rallyline.operators import tracking
-from rallyline.operators.attempts import Camera, evidence
+from rallyline.operators.attempts import EVIDENCE, Camera, analyze, evidence, stream_evidence
+from rallyline.plans.stream import drained
 from rallyline.streaming.attempts import batch_ledger
 
 POINTS = "array<struct<frame:int,x:double,y:double,score:double>>"
@@ -31,6 +32,37 @@ def test_tracks_become_evidence_in_order(spark):
     assert [r["confidence"] for r in found] == [0.0, 0.68, 0.68, 0.0, 0.58, 0.0]
 
 
+def drill():
+    paths = []
+    for i in range(8):
+        paths += [launch(10 + 80 * i), back(30 + 80 * i, bounces=i != 4, reach=14 if i != 4 else 20)]
+    return paths
+
+
+def test_stream_and_batch_give_the_same_evidence(spark, tmp_path):
+    """Tracks that come a few at a time, with state between them."""
+    paths = [back(0), *drill(), [(700, 0.0, 0.0, 0.0)] * 3]
+    schema = f"video_id string, track_no int, points {POINTS}"
+    rows = [(v, i, p) for v in "vw" for i, p in enumerate(paths)]
+    for part in range(3):
+        cut = [r for r in rows if r[1] * 3 // len(paths) == part]
+        spark.createDataFrame(cut, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    key = lambda r: tuple(r[c] for c in EVIDENCE)
+    streamed = sorted(map(key, drained(stream_evidence(stream, CAMERA)).collect()))
+    assert streamed == sorted(map(key, evidence(spark.createDataFrame(rows, schema), CAMERA).collect())) and len(streamed) > 30
+
+
+def test_candidates_become_upserts(spark):
+    """The whole way in one plan: the ledger of a drill from its candidates."""
+    spots = sorted({(f, x, y) for path in drill() for f, x, y, _ in path})
+    numbered = [("v", f, sum(g == f for g, _, _ in spots[:k]), x, y, 0.0) for k, (f, x, y) in enumerate(spots)]
+    gaps = [("v", f, 0, None, None, None) for f in range(spots[-1][0] + 40) if f not in {s[0] for s in spots}]
+    frame = spark.createDataFrame(numbered + gaps, "video_id string, frame int, candidate int, x double, y double, score double")
+    final = {r["sequence"]: r["outcome"] for r in analyze(frame, CAMERA).collect() if r["state"] == "finalized"}
+    assert list(final.values())[:4] == ["hit"] * 4 and "miss" in final.values()
+
+
 def test_a_drill_becomes_a_ledger(spark):
     paths = []
     for i in range(8):

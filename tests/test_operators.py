@@ -208,3 +208,15 @@ def test_weeks_of_rows_without_a_time_are_not_the_total(spark):
     rows = spark.createDataFrame([("2026-01-05 10:00:00", 1.0), ("2026-01-06 10:00:00", 3.0), (None, 5.0)], "t string, v double").withColumn("t", F.col("t").cast("timestamp_ntz"))
     found = {(str(r["week"]), r["all_weeks"]): r["mean"] for r in metrics.weekly(rows, "t", F.avg("v").alias("mean")).collect()}
     assert found == {("2026-01-04", False): 2.0, ("None", False): 5.0, ("None", True): 3.0}
+
+
+def test_percentages(spark):
+    assert [column(spark, scalars.percent(F.lit(v))) for v in (0.12345, 1.0, 0.0)] == ["12.35%", "100.00%", "0.00%"]
+    assert column(spark, scalars.percent(F.lit(None).cast("double"))) is None
+
+
+def test_a_wrong_streak_is_a_mismatch(spark):
+    actual = spark.createDataFrame([("v", 1, "a1", 10, "hit", 0.1, 1), ("v", 2, "a2", 20, "miss", 0.1, 0), ("v", 3, "a3", 30, "hit", 0.1, 2)], "video string, sequence int, attempt_id string, anchor_frame_number int, outcome string, delay double, streak int")
+    limits = spark.createDataFrame([("hit", 5.0), ("miss", 5.0)], "outcome string, limit double")
+    found = ledger.replay_mismatches(actual.select("video", "sequence", "outcome"), actual, limits).collect()
+    assert [(r["check"], r["detail"]) for r in found] == [("streak", "a3 shows 2, not 1")]

@@ -171,3 +171,26 @@ def test_shadow_score_and_spin_axis():
     x, y = frames.spin_axis(arrow)
     assert x > 0.95 and abs(y) < 0.2
     assert frames.spin_axis(np.zeros((3, 3), bool)) is None
+
+
+def test_bounce_diagnostics_and_calibrations_are_written(spark, tmp_path):
+    rows = [(7, "confirmed_bounce", "turn hit_frame=7", [[7.0, 1.0, 2.0]]), (8, "rejected", "no", [])]
+    frame = spark.createDataFrame(rows, "draw_frame int, kind string, reason string, points array<array<double>>")
+    records.write_bounce_diagnostics(frame, str(tmp_path / "bounces"))
+    assert [r["draw_frame"] for r in spark.read.json(str(tmp_path / "bounces")).collect()] == [7]
+    reviews = spark.createDataFrame([(2, "extra"), (1, "missing")], "review_number int, kind string")
+    records.write_review_manifest(reviews, {"match": 3, "accuracy": 0.75}, ["overlap", "handoff"], str(tmp_path / "reviews"))
+    found = json.loads(spark.read.text(str(tmp_path / "reviews"), wholetext=True).first()[0])
+    assert found["categories"] == ["overlap", "handoff"] and found["scorecard"] == {"match": 3, "accuracy": 0.75}
+    assert found["reviews"] == [{"review_number": n, "kind": k, "category": None, "review_notes": ""} for n, k in ((1, "missing"), (2, "extra"))]
+
+
+def test_events_are_appended_once_across_restarts(spark, tmp_path):
+    schema = "session string, event_id int"
+    place = {name: str(tmp_path / name) for name in ("in", "out", "state")}
+    for batch in ([("a", 1), ("a", 2)], [("a", 3)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").json(place["in"])
+        query = records.append_events(spark.readStream.schema(schema).json(place["in"]), place["out"], place["state"])
+        query.processAllAvailable()
+        query.stop()
+    assert sorted(r["event_id"] for r in spark.read.schema(schema).json(place["out"]).collect()) == [1, 2, 3]
