@@ -54,6 +54,55 @@ def test_rules_on_all_documents(spark, sf_dir):
     check_rules(queries.op7_quality_rules(spark, sf_dir).collect(), rows)
 
 
+def votes_of(text):
+    """Each rule's vote by plain Python: 1 good, 0 bad, None neither."""
+    text = text or ""
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat = measured(text)
+    words, ascii_letters = WORD.findall(text), [c for c in text if c.isascii() and c.isalpha()]
+    lines = sum(bool(WORD.search(line)) for line in text.split("\n"))
+    marks = sum(33 <= ord(c) <= 127 and not c.isalnum() for c in text)
+    share = lambda part, whole: part / max(whole, 1)
+    between = lambda value, good, bad: 1 if value <= good else 0 if value >= bad else None
+    mean = share(word_chars, n_words)
+    return (
+        1 if n_words >= 40 else 0 if n_words < 10 else None, 1 if 3 <= mean <= 9 else 0 if not 2 <= mean <= 14 else None,
+        between(share(n_symbols, n_words), 0.02, 0.2), between(share(marks, word_chars), 0.06, 0.1), between(share(n_dup_lines, lines), 0.05, 0.5),
+        between(share(n_repeat, n_words), 0.05, 0.2), between(share(sum(c.isupper() for c in ascii_letters), len(ascii_letters)), 0.2, 0.5),
+        between(share(sum(c in "!?" for c in text), n_words), 0.05, 0.3), between(share(sum(a == b for a, b in zip(words, words[1:], strict=False)), n_words), 0.05, 0.2),
+    )
+
+
+def plain_posteriors(votes, rounds=200):
+    """Expectation-maximisation one document, one rule and one vote at a time."""
+    good_of = [0.1 if 0 in v else 0.95 for v in votes]
+    prior = {1: {1: 4.0, 0: 0.5, None: 1.0}, 0: {1: 1.0, 0: 2.0, None: 1.0}}
+    for _ in range(rounds):
+        good = (sum(good_of) + 9) / (len(votes) + 10)
+        chance = {}
+        for label in (1, 0):
+            for rule in range(len(votes[0])):
+                mass = dict(prior[label])
+                for v, p in zip(votes, good_of, strict=True):
+                    mass[v[rule]] += p if label else 1 - p
+                for vote, m in mass.items():
+                    chance[label, rule, vote] = m / sum(mass.values())
+        odds = [math.log(good / (1 - good)) + sum(math.log(chance[1, r, x] / chance[0, r, x]) for r, x in enumerate(v)) for v in votes]
+        good_of = [1 / (1 + math.exp(-max(-50, min(50, o)))) for o in odds]
+    return good_of
+
+
+def test_verdicts_against_plain_python(spark, table_of, sf_dir, odd):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows += [(10**6 + k, t) for k, (_, t) in enumerate(odd)]
+    wanted = dict(zip([i for i, _ in rows], plain_posteriors([votes_of(t) for _, t in rows]), strict=True))
+    texts, found = dict(rows), rules.judge(table_of(rows)).collect()
+    assert len(found) == len(rows) and 0 < sum(r["kept"] for r in found) < len(rows)
+    for r in found:
+        n = measured(texts[r["doc_id"]])
+        assert r["posterior"] == pytest.approx(wanted[r["doc_id"]], abs=1e-6)
+        assert r["kept"] == (n[0] >= 10 and 100 * n[4] <= 20 * n[0] and r["posterior"] >= 0.5)
+
+
 def test_fit_finds_the_better_rule():
     """Three rules vote on 1000 texts of which 200 are bad: two see most of the bad, one votes at random."""
     rng = np.random.default_rng(2)
