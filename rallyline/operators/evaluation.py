@@ -172,7 +172,7 @@ def review_manifest(errors: DataFrame, diagnostics: DataFrame, by: str, fps: flo
 
 def label_problems(labels: DataFrame) -> DataFrame:
     """labels with the reason why each may not be stored, null if it may: time_seconds and outcome are checked."""
-    reason = F.when(~F.coalesce(F.col("outcome").isin("hit", "miss", "uncertain"), F.lit(False)), "outcome").when(F.col("time_seconds").isNull() | F.isnan("time_seconds") | (F.col("time_seconds") < 0), "time")
+    reason = F.when(~F.coalesce(F.col("outcome").isin("hit", "miss", "uncertain"), F.lit(False)), "outcome").when(F.col("time_seconds").isNull() | F.isnan("time_seconds") | ~F.col("time_seconds").between(0, 1e300), "time")
     return labels.withColumn("problem", reason)
 
 

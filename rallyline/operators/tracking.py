@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from rallyline.functions import scalars
+
 Point = tuple[int, float, float, float]  # frame, x, y, shadow score
 TRACKS = "video_id string, track_no int, points array<struct<frame:int,x:double,y:double,score:double>>"
 
@@ -255,6 +257,21 @@ def debounce(readings: DataFrame, samples: int = 2, speed_slack: float = 0.11, s
     return readings.groupBy("video_id").applyInPandas(run, "video_id string, frame int, speed double, spin int, label string")
 
 
+def readable(readings: DataFrame, every: int = 3) -> DataFrame:
+    """readings(video_id, frame, speed, spin, label) of every third frame, with what cannot be true of a ball as not
+    read: its speed, spin and label become null, so that it neither counts nor resets a debounced state."""
+    sampled = readings.where(F.pmod("frame", F.lit(every)) == 0)
+    known = scalars.plausible_reading(F.col("speed"), F.col("spin"))
+    return sampled.withColumns({c: F.when(known, F.col(c)) for c in ("speed", "spin", "label")})
+
+
+def latest_tracks(tracks: DataFrame, most: int = 8) -> DataFrame:
+    """Of each video the tracks that ended last, as an overlay shows them; a track known by its first point twice is one."""
+    once = tracks.withColumn("__key", scalars.track_key(F.element_at("points", 1))).dropDuplicates(["video_id", "__key"])
+    order = Window.partitionBy("video_id").orderBy(F.element_at("points", -1)["frame"].desc(), F.col("track_no").desc())
+    return once.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= most).drop("__key", "__place")
+
+
 def visible_points(tracks: DataFrame, last: int = 12) -> DataFrame:
     """tracks cut to the last points of each, as an overlay shows them."""
     return tracks.withColumn("points", F.slice("points", F.greatest(F.size("points") - last + 1, F.lit(1)), last))

@@ -220,3 +220,12 @@ def test_a_wrong_streak_is_a_mismatch(spark):
     limits = spark.createDataFrame([("hit", 5.0), ("miss", 5.0)], "outcome string, limit double")
     found = ledger.replay_mismatches(actual.select("video", "sequence", "outcome"), actual, limits).collect()
     assert [(r["check"], r["detail"]) for r in found] == [("streak", "a3 shows 2, not 1")]
+
+
+def test_label_counts_and_times_that_may_not_be_stored(spark):
+    rows = [("v", "hit", 1.0), ("v", "miss", 2.0), ("v", "hit", 3.0), ("v", "uncertain", float("inf")), ("w", "miss", float("nan")), ("w", "none", -1.0)]
+    labels = spark.createDataFrame(rows, "video string, outcome string, time_seconds double")
+    counts = {r["video"]: (r["hit"], r["miss"], r["uncertain"]) for r in evaluation.label_counts(labels, "video").collect()}
+    assert counts == {"v": (2, 1, 1), "w": (0, 1, 0)}
+    reasons = [r["problem"] for r in evaluation.label_problems(labels).collect()]
+    assert reasons == [None, None, None, "time", "time", "outcome"]

@@ -185,6 +185,17 @@ def test_bounce_diagnostics_and_calibrations_are_written(spark, tmp_path):
     assert found["reviews"] == [{"review_number": n, "kind": k, "category": None, "review_notes": ""} for n, k in ((1, "missing"), (2, "extra"))]
 
 
+def test_a_calibration_survives_writing_and_reading(spark, tmp_path):
+    points = [{"name": str(k), "image": [float(k % 2), float(k // 2)], "log": [float(k % 2), 0.76, float(k // 2)]} for k in range(4)]
+    whole = {name: [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0]] for name in ("table_polygon", "net_line", "tracking_polygon", "table_contact_polygon", "occlusion_polygon")}
+    whole |= {"description": "x", "image_size": [2, 2], "table_surface_y": 0.76, "control_points": points, "launcher_region": [0.0, 0.0, 1.0, 1.0], "return_region": [0.0, 0.0, 1.0, 1.0]}
+    frame = spark.read.schema(records.CALIBRATION).json(spark.sparkContext.parallelize([json.dumps(whole)]))
+    records.write_calibration(frame, str(tmp_path / "out"))
+    assert records.read_calibration(spark, str(tmp_path / "out")).drop("detector_settings").collect() == frame.drop("detector_settings").collect()
+    with pytest.raises(Exception, match="control points"):
+        records.write_calibration(frame.withColumn("control_points", F.slice("control_points", 1, 3)), str(tmp_path / "bad"))
+
+
 def test_events_are_appended_once_across_restarts(spark, tmp_path):
     schema = "session string, event_id int"
     place = {name: str(tmp_path / name) for name in ("in", "out", "state")}

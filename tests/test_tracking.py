@@ -162,3 +162,17 @@ def test_visible_points(spark):
 def test_kinematics(spark):
     rows = tracking.kinematics(frame_of(spark, path(4, lambda f: f * f))).orderBy("frame").collect()
     assert [r["vx"] for r in rows] == [None, 1.0, 3.0, 5.0] and rows[3]["acceleration"] == 2.0
+
+
+def test_readings_that_cannot_be_are_not_read(spark):
+    rows = [("v", 0, 12.0, 5, "up"), ("v", 1, 12.0, 5, "up"), ("v", 3, 120.0, 5, "up"), ("v", 6, 12.0, 151, "up"), ("v", 9, 12.0, 5, "up"), ("v", 12, None, None, None)]
+    read = tracking.readable(spark.createDataFrame(rows, "video_id string, frame int, speed double, spin int, label string"))
+    assert [(r["frame"], r["speed"], r["label"]) for r in read.orderBy("frame").collect()] == [(0, 12.0, "up"), (3, None, None), (6, None, None), (9, 12.0, "up"), (12, None, None)]
+    assert [(r["frame"], r["spin"]) for r in tracking.debounce(read).collect()] == [(9, 5)]
+
+
+def test_the_latest_tracks_of_a_video(spark):
+    paths = [[(f + 3 * i, 10.0 * i, 5.0, 0.0) for f in range(4)] for i in range(10)]
+    frame = frame_of(spark, *paths, paths[9][:2])
+    found = {r["track_no"] for r in tracking.latest_tracks(frame).collect()}
+    assert len(found) == 8 and set(range(3, 9)) <= found and len(found & {9, 10}) == 1
