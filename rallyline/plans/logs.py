@@ -3,7 +3,8 @@
 A session is a user's day, an event a point in order of ts and event_id. Its type says how it goes: a purchase is a
 legal serve and won, a view a serve into the net and lost, a signup a return that lands and wins, a click one that does
 not, an error a point without contacts. The snapshot after it names the server of the next: the user if its event_id is
-even.
+even. Its time is the user_id in seconds after one o'clock of that day, so late users play on the next day. The SQL's
+session_id says AM at any hour; the file's name says PM at noon.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def _in_order(first: Column, mine: Column, other: Column) -> Column:
 
 
 def written(events: DataFrame) -> DataFrame:
-    """file_name, content: a log for each user and day of events."""
+    """session_id, file_name, content: a log for each user and day of events."""
     session, first = ["user_id", F.to_date("ts").alias("day")], F.col("user_id") % 2 == 0
     so_far = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     won, played = F.col("event_type").isin("purchase", "signup"), F.col("event_type") != "error"
@@ -59,10 +60,11 @@ def written(events: DataFrame) -> DataFrame:
         play = F.when(F.col("event_type") == kind, F.concat(*(_line(t, first) for t in things))).otherwise(play)
     points = events.select(*session, "ts", "event_id", first.alias("first"), own.alias("own"), head.alias("head"), F.concat(play, snapshot, F.lit(logs.POINT_MARK + "}\n")).alias("text"))
     whole = points.groupBy("user_id", "day", "own", "head").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "text"))), lambda p: p["text"]), "").alias("text"))
-    clock = [F.month("day"), F.dayofmonth("day"), F.year("day"), F.floor(F.col("user_id") / 3600) + 1, F.floor(F.col("user_id") / 60) % 60, F.col("user_id") % 60]
-    name = F.concat(F.lit("ALL-"), F.concat_ws(".", *(c.cast("string") for c in clock)), F.lit(".AM.log"))
+    hour = F.floor(F.col("user_id") / 3600) + 1
+    clock = [F.month("day"), F.dayofmonth("day"), F.year("day"), hour, F.floor(F.col("user_id") / 60) % 60, F.col("user_id") % 60]
+    name = lambda half: F.concat(F.lit("ALL-"), F.concat_ws(".", *(c.cast("string") for c in clock), half), F.lit(".log"))
     start = F.concat(F.lit("Properly authenticated "), F.col("own"), F.lit(f"\n{logs.GAME_MARK}\n"), F.col("head"), F.lit("}\nstart " + logs.POINT_MARK + "}\n"))
-    return whole.select(name.alias("file_name"), F.concat(start, F.col("text")).alias("content"))
+    return whole.select(name(F.lit("AM")).alias("session_id"), name(F.when(hour == 12, "PM").otherwise("AM")).alias("file_name"), F.concat(start, F.col("text")).alias("content"))
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> logs.Logs:

@@ -56,11 +56,11 @@ def _flip(value: Column, first: str = "is_first") -> Column:
 
 
 def parse(raw: DataFrame, fallback_user: str | None = None) -> Logs:
-    """All tables of raw(file_name, content). A file without games gives a session only; broken parts give no rows.
-    fallback_user is the user of logs that name none.
+    """All tables of raw(file_name, content), and session_id where that is not the file's name. A file without games
+    gives a session only; broken parts give no rows. fallback_user is the user of logs that name none.
     """
     named = raw.select(
-        F.col("file_name").alias("session_id"), "file_name", "content",
+        F.col("session_id" if "session_id" in raw.columns else "file_name").alias("session_id"), "file_name", "content",
         F.coalesce(_found("content", r"Properly authenticated (\w+)"), F.lit(fallback_user).cast("string")).alias("username"),
         scalars.session_time(F.col("file_name")).alias("session_ts"),
     )
