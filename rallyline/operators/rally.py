@@ -74,7 +74,8 @@ def spin_means(contacts: DataFrame, *by: str) -> DataFrame:
 
 
 def weekly_rates(logs: Logs) -> DataFrame:
-    """week and rates of each week and, where all_weeks, of all points together; sessions without a time have a null week."""
-    dated = logs.points.join(logs.sessions.select("session_id", metrics.week_start(F.col("session_ts")).alias("week")), "session_id")
+    """week and rates of each week and, where all_weeks, of all points together; sessions without a day have a null week.
+    The week is that of the day in the session's name, also where its hours run into the next day."""
+    dated = logs.points.join(logs.sessions.select("session_id", metrics.week_start(F.col("session_day")).alias("week")), "session_id")
     together = rates(dated).withColumns({"week": F.lit(None).cast("date"), "all_weeks": F.lit(True)})
     return rates(dated, "week").withColumn("all_weeks", F.lit(False)).unionByName(together)

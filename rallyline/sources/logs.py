@@ -62,7 +62,7 @@ def parse(raw: DataFrame, fallback_user: str | None = None) -> Logs:
     named = raw.select(
         F.col("session_id" if "session_id" in raw.columns else "file_name").alias("session_id"), "file_name", "content",
         F.coalesce(_found("content", r"Properly authenticated (\w+)"), F.lit(fallback_user).cast("string")).alias("username"),
-        scalars.session_time(F.col("file_name")).alias("session_ts"),
+        scalars.session_time(F.col("file_name")).alias("session_ts"), scalars.session_day(F.col("file_name")).alias("session_day"),
     )
     sessions = named.drop("content")
     games = named.select("session_id", "username", F.posexplode(scalars.pieces_after(F.col("content"), GAME_MARK)).alias("match_no", "game"))
