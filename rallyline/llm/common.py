@@ -34,8 +34,8 @@ def unused(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def _give_back() -> None:
-    """Hand freed memory back to the system: Arrow and the C library keep it for a worker that lives on to other tasks."""
+def give_back() -> None:
+    """Hand freed memory back to the system: Arrow and the C library keep it for a process that lives on to other tasks."""
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
@@ -60,7 +60,7 @@ def map_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _keep_only(keeps)
         yield from run(batches)
-        _give_back()
+        give_back()
 
     return rows.mapInArrow(tidy, schema)
 

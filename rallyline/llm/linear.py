@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallyline.llm.common import map_blocks, text_rows
+from rallyline.llm.common import give_back, map_blocks, text_rows
 
 #: Gives a block's features as (text, feature, value), each feature of a text once.
 Features = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -70,6 +70,12 @@ def train(sample: DataFrame, features: Features, settings: Settings) -> Linear:
 
     rows = map_blocks(sample, work, "doc_id long, label int, features binary, vals binary")
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("label", "features", "vals")).alias("r")).select("doc_id", "r.*")
+    model = _fitted(rows, settings)
+    give_back()  # the driver goes on to other stages
+    return model
+
+
+def _fitted(rows: DataFrame, settings: Settings) -> Linear:
     kept = sorted((r["doc_id"], r["label"], bytes(r["features"]), bytes(r["vals"])) for r in rows.toLocalIterator())
     examples = [(float(y), np.frombuffer(f, np.int32), np.frombuffer(v, np.float32).astype(float)) for _, y, f, v in kept]
     if len({y for y, _, _ in examples}) < 2:
